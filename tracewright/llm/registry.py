@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, sstable, urls
+from . import exact, packing, sstable, substring, urls
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), width=35, texts=False)
+
+
 def op2_sorted_string_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
@@ -39,7 +43,7 @@ def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sorted_string_shards, op5_patricia_owners, op6_url_ranges, op9_bin_completion)
+    f.__name__: f for f in (op1_fingerprint_index, op2_sorted_string_shards, op5_patricia_owners, op6_url_ranges, op9_bin_completion)
 }
 
 ORACLES: dict[str, str] = {

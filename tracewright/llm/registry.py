@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, sstable, substring, urls
+from . import decontaminate, exact, packing, sstable, substring, toxicity, urls, wordpiece
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -27,6 +27,14 @@ def op2_sorted_string_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op3_pigeonhole_myers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_longest_match_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -42,8 +50,12 @@ def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=1024)
 
 
+def op10_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprint_index, op2_sorted_string_shards, op5_patricia_owners, op6_url_ranges, op9_bin_completion)
+    f.__name__: f for f in (op1_fingerprint_index, op2_sorted_string_shards, op3_pigeonhole_myers, op4_longest_match_automaton, op5_patricia_owners, op6_url_ranges, op9_bin_completion, op10_subsequence_kernel)
 }
 
 ORACLES: dict[str, str] = {

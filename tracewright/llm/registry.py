@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, packing, sstable, substring, suffixes, toxicity, urls, wordpiece
+from . import decontaminate, exact, jaccard, packing, sstable, substring, suffixes, toxicity, urls, wordpiece
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -46,6 +46,10 @@ def op6_url_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op8_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), width=50, kept=False)
 
@@ -59,7 +63,7 @@ def op10_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprint_index, op2_sorted_string_shards, op3_pigeonhole_myers, op4_longest_match_automaton, op5_patricia_owners, op6_url_ranges, op8_sparse_suffix_array, op9_bin_completion, op10_subsequence_kernel)
+    f.__name__: f for f in (op1_fingerprint_index, op2_sorted_string_shards, op3_pigeonhole_myers, op4_longest_match_automaton, op5_patricia_owners, op6_url_ranges, op7_chosen_path_join, op8_sparse_suffix_array, op9_bin_completion, op10_subsequence_kernel)
 }
 
 ORACLES: dict[str, str] = {

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .. import fixed as X
 from ..functions import questions as Q, redact as R, text as T
 from ..operators import lineage as L, packet as P, ranking as K
-from ..operators.normalize import parse, whole_number_at
+from ..operators.normalize import parse
 from .index import diff
 
 
@@ -55,7 +55,9 @@ def first_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", whole_number_at(F.try_parse_json("props"), "$.k").alias("k"))
+    v = F.try_parse_json("props")
+    k = F.try_variant_get(v, "$.k", "long")
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.schema_of_variant(F.try_variant_get(v, "$.k", "variant")).startswith("BIGINT") & (k >= 0), k).alias("k"))
 
 
 def bound_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import batch_of, materialise, mix, partitions, rolling, word_hashes, word_spans
 from .components import components
-from .substring import keyed, text_blocks
+from .substring import keyed, ordered_id, text_blocks
 
 COORDINATES, CHILDREN, FIRST_STEPS = 64, 2.0, 2
 _NGRAM_BASE = 0xC2B2AE3D27D4EB4F
@@ -74,7 +74,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 ids, ds, rks = (batch.column(c).slice(at, k) for c in ("doc_id", "d", "rk"))
                 yield pa.RecordBatch.from_arrays([ids, ds, rks, pa.array(node), pa.array(check), pa.array(size.astype(np.int64)), pa.array([r.tobytes() for r in signature], pa.binary())], [x.split()[0] for x in _SETS.split(", ")])
 
-    return docs.select("doc_id", "d", "rk", "text").mapInArrow(go, _SETS)
+    return docs.select("doc_id", ordered_id(), "rk", "text").mapInArrow(go, _SETS)
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ A window is ``width`` words.  Its fingerprint is the smallest hash of the ``gram
 fingerprints and neighbouring windows mostly share theirs: a document has about one for every fourteen words.  The index holds
 sorted immutable runs of (fingerprint, row key, occurrences), one for each batch; runs are merge-joined on the fingerprint, and
 compacted into one when there are more than ``fan_in``.  Windows whose fingerprint occurs more than once are then verified by a
-second, independent 64-bit hash of all their words, under the same fingerprint (128 bits in all).
+second, independent 48-bit hash of all their words, under the same 64-bit fingerprint (112 bits in all).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import BLOCK_BYTES, batch_of, blocks, covered, documents, filesystem, partitions, rolling, scratch, sliding_max, sliding_min, word_hashes, word_spans
 
@@ -149,9 +149,17 @@ class SentTwice:
         return ok
 
 
+#: Bytes of a window's own hash that are compared, beside the eight of its fingerprint.
+HASH_BYTES = 6
 _ROUTED = "route long, rk long, d long, places binary, hashes binary"
 
 
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal values."""
+    cut = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return np.r_[0, cut], np.r_[cut, len(x)]
+
+
 def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """Windows (of docs: rk, d, text, vs) whose fingerprint is repeated, to be settled by fingerprint.
 
@@ -177,39 +185,53 @@ def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
                         continue
                     doc = block.owner[some]
                     f = block.fingerprints[some]
-                    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (settle & (f[1:] != f[:-1]))) + 1
-                    hashes = h[ok] if settle else None
-                    for a, b in zip(np.r_[0, cut], np.r_[cut, len(some)], strict=True):
-                        i = at + doc[a]
-                        places = (some[a:b] - block.first[doc[a]]).astype("<u4").tobytes()
-                        rows.append((int(f[a].view(np.int64)) if settle else int(rk[i]), int(rk[i]), int(d[i]), places, hashes[a:b].tobytes() if settle else None))
+                    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (some[1:] != some[:-1] + 1) | (settle & (f[1:] != f[:-1]))) + 1
+                    starts, ends = np.r_[0, cut], np.r_[cut, len(some)]
+                    if settle:
+                        hashes = h[ok].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+                        for a, b in zip(starts, ends, strict=True):
+                            i = at + doc[a]
+                            rows.append((int(f[a].view(np.int64)), int(rk[i]), int(d[i]), int(some[a] - block.first[doc[a]]).to_bytes(4, "little"), hashes[a:b].tobytes()))
+                        continue
+                    runs = np.stack([some[starts] - block.first[doc[starts]], ends - starts], 1).astype("<u4")
+                    owner = doc[starts]
+                    for a, b in zip(*_groups(owner), strict=True):
+                        i = at + owner[a]
+                        rows.append((int(rk[i]), int(rk[i]), int(d[i]), runs[a:b].tobytes(), None))
                 yield batch_of(rows, _ROUTED)
 
     return docs.mapInArrow(go, _ROUTED)
 
 
 def settle(routed: DataFrame, at_once: int = 4 << 20) -> DataFrame:
-    """rk, found: windows that occur more than once; ``found`` is d (8 bytes) and the places.
+    """rk, found: windows that occur more than once; ``found`` is d (8 bytes) and runs of them (first place, how many).
 
     Rows come sorted by fingerprint, and whole fingerprints are settled together, about ``at_once`` bytes of them.
     """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        out = []
-        route = np.repeat(np.array([r[0] for r in rows], np.int64).view(np.uint64), [len(r[3]) // 4 for r in rows])
-        hashes = np.frombuffer(b"".join(r[4] for r in rows), np.uint64)
+        n = np.fromiter((len(r[4]) // HASH_BYTES for r in rows), np.int64, len(rows))
+        route = np.repeat(np.array([r[0] for r in rows], np.int64).view(np.uint64), n)
+        hashes = np.zeros((len(route), 8), np.uint8)
+        hashes[:, :HASH_BYTES] = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, HASH_BYTES)
+        hashes = hashes.view(np.uint64).ravel()
         order = np.lexsort((hashes, route))
         same = (hashes[order][1:] == hashes[order][:-1]) & (route[order][1:] == route[order][:-1])
         twice = np.zeros(len(order), bool)
         twice[order[1:]] = same
         twice[order[:-1]] |= same
-        at = 0
-        for _, rk, d, places, _ in rows:
-            n = len(places) // 4
-            mine = np.frombuffer(places, "<u4")[twice[at : at + n]]
-            at += n
-            if len(mine):
-                out.append((rk, d.to_bytes(8, "little", signed=True) + mine.tobytes()))
+        row = np.repeat(np.arange(len(rows)), n)
+        hit = np.flatnonzero(twice)
+        if not len(hit):
+            return batch_of([], "rk long, found binary")
+        place = np.arange(len(route)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.array([int.from_bytes(r[3], "little") for r in rows], np.int64), n)
+        start = np.r_[True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])]
+        lead = hit[start]
+        runs = np.stack([place[lead], np.diff(np.r_[np.flatnonzero(start), len(hit)])], 1).astype("<u4")
+        by: dict[tuple[int, int], list[bytes]] = {}
+        for i, r in zip(row[lead].tolist(), runs, strict=True):
+            by.setdefault((rows[i][1], rows[i][2]), []).append(r.tobytes())
+        out = [(rk, d.to_bytes(8, "little", signed=True) + b"".join(found)) for (rk, d), found in by.items()]
         return batch_of(out, "rk long, found binary")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +247,7 @@ def settle(routed: DataFrame, at_once: int = 4 << 20) -> DataFrame:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) * 2
+                size += len(row[4]) * 3
                 last = row[0]
             if done:
                 yield batch_of(done, "rk long, found binary")
@@ -236,14 +258,22 @@ def settle(routed: DataFrame, at_once: int = 4 << 20) -> DataFrame:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """doc_id, d (doc_id, null: the smallest long), text and rk, a key of the whole row."""
-    return documents(df).select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("doc_id", "text").alias("rk"), "text")
+    """doc_id, text and rk, a key of the whole row.  Joins on rk that use just these columns share one exchange of the texts."""
+    return documents(df).select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
+
+
+def ordered_id() -> Column:
+    """doc_id, null: the smallest long."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")
 
 
 def places_of(found: list[bytes] | None, d: int) -> np.ndarray:
     """Places of one document among what its row key was told."""
-    own = [np.frombuffer(f, "<u4", offset=8) for f in found or [] if int.from_bytes(f[:8], "little", signed=True) == d]
-    return np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
+    own = [np.frombuffer(f, "<u4", offset=8).reshape(-1, 2) for f in found or [] if int.from_bytes(f[:8], "little", signed=True) == d]
+    if not own:
+        return np.zeros(0, np.int64)
+    start, count = np.concatenate(own).astype(np.int64).T
+    return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
 
 
 _REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -260,9 +290,9 @@ def remove_repeats(df: DataFrame, width: int = 35, gram: int = 8, batches: int =
     index = FingerprintIndex(spark, folder or scratch(spark, "fingerprints"))
     for b in range(batches):
         index.append(fingerprints(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b) if batches > 1 else docs, width, gram))
-    found = settle(candidates(docs.select("rk", "d", "text").join(index.repeated(), "rk").select("rk", "d", "text", "vs"), width, gram))
+    found = settle(candidates(docs.join(index.repeated(), "rk").select("rk", ordered_id(), "text", "vs"), width, gram))
     told = found.groupBy("rk").agg(F.collect_list("found").alias("found"))
-    joined = docs.join(told, "rk", "left").select("doc_id", "d", "text", "found")
+    joined = docs.join(told, "rk", "left").select("doc_id", ordered_id(), "text", "found")
 
     def go(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:

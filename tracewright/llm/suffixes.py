@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import _BYTE, batch_of, covered, mix, partitions, powers, rolling, sliding_max, sliding_min
-from .substring import keyed, text_blocks
+from .substring import keyed, ordered_id, text_blocks
 
 _BASE, _SPAN_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _NOBODY = np.uint32(0xFFFFFFFF)
@@ -37,7 +38,7 @@ class Bytes:
         self.width, self.inside = width, width - gram + 1
         n = max(0, len(self.data) - width + 1)
         self.valid = self.doc[:n] == self.doc[width - 1 :] if n else np.zeros(0, bool)
-        self.grams = rolling(_BYTE[self.data], gram, _BASE) | np.uint64(1)
+        self.grams = rolling(_BYTE[self.data], gram, _BASE) >> np.uint64(64 - 8 * _HASH) | np.uint64(1)
         self.least = sliding_min(self.grams, self.inside) if n else np.zeros(0, np.uint64)
 
     def anchors(self) -> np.ndarray:
@@ -58,6 +59,19 @@ class Bytes:
         return anchors[at]
 
 
+def planes(x: np.ndarray, kept: int) -> bytes:
+    """The ``kept`` low bytes of integers, all lowest bytes first: sorted or small numbers then compress well."""
+    return x.astype(f"<u{x.itemsize}").view(np.uint8).reshape(len(x), x.itemsize)[:, :kept].T.tobytes()
+
+
+def from_planes(data: bytes, kept: int, kind: type) -> np.ndarray:
+    out = np.zeros((len(data) // kept, np.dtype(kind).itemsize), np.uint8)
+    out[:, :kept] = np.frombuffer(data, np.uint8).reshape(kept, -1).T
+    return out.view(kind).ravel()
+
+
+#: Bytes of an anchor's hash that are compared, and of a document's place in its chunk.
+_HASH, _PLACE = 7, 4
 _PIECES = "route long, kind int, chunk long, hashes binary, owners binary"
 
 
@@ -76,7 +90,7 @@ def _anchor_pieces(docs: DataFrame, width: int, gram: int, buckets: int, chunk_e
         v, o = v[new], o[new]
         same = v[1:] == v[:-1]
         shared = np.r_[same, False] | np.r_[False, same]
-        rows = [(chunk, 0, chunk, table.astype(np.int64).tobytes(), None), (chunk, 2, chunk, v[shared].tobytes(), o[shared].tobytes())]
+        rows = [(chunk, 0, chunk, table.astype(np.int64).tobytes(), None), (chunk, 2, chunk, planes(v[shared], _HASH), planes(o[shared], _PLACE))]
         twice = np.repeat(np.unique(v[shared]), 2)
         v, o = np.concatenate([v[~shared], twice]), np.concatenate([o[~shared], np.full(len(twice), _NOBODY, np.uint32)])
         bucket = (v >> np.uint64(33)) % np.uint64(buckets)
@@ -84,7 +98,7 @@ def _anchor_pieces(docs: DataFrame, width: int, gram: int, buckets: int, chunk_e
         v, o, bucket = v[order], o[order], bucket[order]
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(v)])
         for a, b in zip(cut, np.r_[cut[1:], len(v)], strict=True):
-            rows.append((int(bucket[a]), 1, chunk, v[a:b].tobytes(), o[a:b].tobytes()))
+            rows.append((int(bucket[a]), 1, chunk, planes(v[a:b], _HASH), planes(o[a:b], _PLACE)))
         return batch_of(rows, _PIECES)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +131,15 @@ def _repeated(pieces: DataFrame) -> DataFrame:
     """Pieces for the chunks (kinds 0 and 2): which hashes of which documents occur in more than one document."""
 
     def settle(rows: list[tuple]) -> Iterator[tuple]:
-        v = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
-        often = np.sort(v)
+        often = np.sort(np.concatenate([from_planes(r[3], _HASH, np.uint64) for r in rows]))
         often = np.unique(often[1:][often[1:] == often[:-1]])
         for _, _, chunk, hashes, owners in rows:
-            mine, o = np.frombuffer(hashes, np.uint64), np.frombuffer(owners, np.uint32)
+            mine, o = from_planes(hashes, _HASH, np.uint64), from_planes(owners, _PLACE, np.uint32)
             at = np.searchsorted(often, mine)
             at[at == len(often)] = 0
             keep = (often[at] == mine) & (o != _NOBODY) if len(often) else np.zeros(len(mine), bool)
             if keep.any():
-                yield chunk, 2, chunk, mine[keep].tobytes(), o[keep].tobytes()
+                yield chunk, 2, chunk, planes(mine[keep], _HASH), planes(o[keep], _PLACE)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -154,8 +167,8 @@ def _by_document(pieces: DataFrame) -> DataFrame:
 
     def finish(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(rows[0][3], np.int64)
-        v = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows[1:]])
-        o = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows[1:]])
+        v = np.concatenate([from_planes(r[3], _HASH, np.uint64) for r in rows[1:]])
+        o = np.concatenate([from_planes(r[4], _PLACE, np.uint32) for r in rows[1:]])
         order = np.lexsort((v, o))
         v, o = v[order], o[order]
         new = np.flatnonzero(np.r_[True, o[1:] != o[:-1]][: len(o)])
@@ -224,11 +237,26 @@ class FirstSeen:
         return first[inverse] < d
 
 
-def _suffixes(docs: DataFrame, width: int, gram: int, splitters: np.ndarray) -> DataFrame:
+def _suffixes(docs: DataFrame, width: int, gram: int, splitters: np.ndarray, at_once: int = 16 << 20) -> DataFrame:
     """Kind 0: for each range a packed list of suffixes; kind 1: windows of one document (head) that are settled already."""
 
+    def send(parts: list[tuple]) -> pa.RecordBatch:
+        route, head, size, where, places, text = (np.concatenate(c) for c in zip(*parts, strict=True))
+        at, first_place = np.cumsum(size) - size, np.cumsum(places) - places
+        by = np.argsort(route, kind="stable")
+        ends = np.flatnonzero(np.r_[route[by][1:] != route[by][:-1], True]) + 1
+        pack = zstandard.ZstdCompressor(level=3).compress
+        rows = []
+        for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
+            mine = by[a:b]
+            front = len(mine).to_bytes(4, "little") + head[mine].tobytes() + gather(where, first_place[mine], places[mine]).tobytes()
+            rows.append((int(route[mine[0]]), 0, None, pack(front), pack(gather(text, at[mine], size[mine]).tobytes())))
+        return batch_of(rows, _SUFFIXES)
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = FirstSeen()
+        parts: list[tuple] = []
+        held = 0
         for batch in batches:
             rks, ds, vs = batch.column("rk").to_numpy(), batch.column("d").to_numpy(), batch.column("vs")
             for at, texts in text_blocks(batch):
@@ -246,7 +274,7 @@ def _suffixes(docs: DataFrame, width: int, gram: int, splitters: np.ndarray) ->
                 size, doc = count + width - 1, block.doc[j[cut]]
                 power, inverse = powers(_SPAN_BASE, len(block.data))
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[block.data] * power)])
-                key = mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64) * np.uint64(1_000_003) + (p - start).astype(np.uint64)) ^ block.grams[p]
+                key = mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64) * np.uint64(1_000_003) + (p - start).astype(np.uint64)) ^ mix(block.grams[p])
                 d, rk = ds[at + doc], rks[at + doc]
                 known = seen.smaller(key, d)
                 if known.any():
@@ -259,20 +287,16 @@ def _suffixes(docs: DataFrame, width: int, gram: int, splitters: np.ndarray) ->
                 lead = np.flatnonzero(np.r_[True, (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])])
                 places = np.diff(np.r_[lead, len(order)])
                 one = order[lead]
-                route = np.searchsorted(splitters, _digits(block.data, p[one]), "right")
-                first_place = np.r_[0, np.cumsum(places)]
-                by = np.argsort(route, kind="stable")
-                ends = np.flatnonzero(np.r_[route[by][1:] != route[by][:-1], True]) + 1
                 head = np.empty(len(one), _HEAD)
                 head["rk"], head["d"], head["left"], head["size"], head["places"] = rk[one], d[one], (p - start)[one], size[one], places
-                offsets = (start - block.first[doc])[order].astype("<u4")
-                rows = []
-                for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
-                    mine = by[a:b]
-                    where = gather(offsets, first_place[mine], places[mine])
-                    body = gather(block.data, start[one][mine], size[one][mine])
-                    rows.append((int(route[mine[0]]), 0, None, len(mine).to_bytes(4, "little") + head[mine].tobytes() + where.tobytes(), body.tobytes()))
-                yield batch_of(rows, _SUFFIXES)
+                text = gather(block.data, start[one], size[one])
+                parts.append((np.searchsorted(splitters, _digits(block.data, p[one]), "right"), head, size[one], (start - block.first[doc])[order].astype("<u4"), places, text))
+                held += len(text)
+                if held > at_once:
+                    yield send(parts)
+                    parts, held = [], 0
+        if parts:
+            yield send(parts)
 
     return docs.mapInArrow(go, _SUFFIXES)
 
@@ -319,10 +343,12 @@ def multikey_order(digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def _settle(rows: list[tuple], width: int, gram: int) -> pa.RecordBatch | None:
+def _settle(rows: list[tuple], width: int, gram: int) -> tuple[np.ndarray, ...]:
     """Windows of one range's suffixes that also begin in a document with a smaller identifier."""
     heads, places, bodies = [], [], []
+    unpack = zstandard.ZstdDecompressor().decompress
     for head, body in rows:
+        head, body = unpack(head), unpack(body)
         n = int.from_bytes(head[:4], "little")
         h = np.frombuffer(head, _HEAD, n, 4)
         heads.append(h)
@@ -368,10 +394,8 @@ def _settle(rows: list[tuple], width: int, gram: int) -> pa.RecordBatch | None:
             hashed += _BYTE[wide[:, reach - 1 - o]] * power
             power = np.uint64(int(power) * _BASE & (1 << 64) - 1)
     hit = np.repeat(mask != 0, h["places"])
-    if not hit.any():
-        return None
     spread = lambda x: np.repeat(x, h["places"])[hit]
-    return _told(spread(h["rk"]), spread(d), where[hit].astype(np.int64), spread(mask))
+    return spread(h["rk"]), spread(d), where[hit].astype(np.int64), spread(mask)
 
 
 def _exactly(windows: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -385,22 +409,38 @@ def _exactly(windows: np.ndarray, d: np.ndarray) -> np.ndarray:
 def _settled(suffixes: DataFrame, width: int, gram: int) -> DataFrame:
     """rk, found of all windows to remove."""
 
+    def told(found: list[tuple]) -> pa.RecordBatch:
+        return _told(*(np.concatenate(c) for c in zip(*found, strict=True))).select(["rk", "head"]).rename_columns(["rk", "found"])
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        last = None
+        found: list[tuple] = []
+        last, n = None, 0
+
+        def settle() -> None:
+            nonlocal held, n
+            found.append(_settle(held, width, gram))
+            held, n = [], n + len(found[-1][0])
+
         for batch in batches:
+            done = []
             for route, kind, rk, head, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
-                    yield batch_of([(rk, head)], "rk long, found binary")
+                    done.append((rk, head))
                     continue
                 if held and route != last:
-                    if (out := _settle(held, width, gram)) is not None:
-                        yield out.select(["rk", "head"]).rename_columns(["rk", "found"])
-                    held = []
+                    settle()
+                    if n > 2_000_000:
+                        yield told(found)
+                        found, n = [], 0
                 held.append((head, body))
                 last = route
-        if held and (out := _settle(held, width, gram)) is not None:
-            yield out.select(["rk", "head"]).rename_columns(["rk", "found"])
+            if done:
+                yield batch_of(done, "rk long, found binary")
+        if held:
+            settle()
+        if n:
+            yield told(found)
 
     return suffixes.repartition(partitions(suffixes.sparkSession), "route").sortWithinPartitions("route").mapInArrow(go, "rk long, found binary")
 
@@ -435,9 +475,9 @@ def remove_repeats(df: DataFrame, width: int = 50, gram: int = 18, kept: bool =
     n = partitions(spark)
     told = _by_document(_repeated(_anchor_pieces(docs, width, gram, 4 * n)))
     splitters = splitters_of(docs, width, gram, 4 * n)
-    candidates = docs.select("rk", "d", "text").join(told, "rk").select("rk", "d", "text", "vs").sortWithinPartitions("d")
+    candidates = docs.join(told, "rk").select("rk", ordered_id(), "text", "vs").sortWithinPartitions("d")
     found = _settled(_suffixes(candidates, width, gram, splitters), width, gram).groupBy("rk").agg(F.collect_list("found").alias("found"))
-    joined = docs.join(found, "rk", "left").select("doc_id", "d", "text", "found")
+    joined = docs.join(found, "rk", "left").select("doc_id", ordered_id(), "text", "found")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.arange(64, dtype=np.uint64)

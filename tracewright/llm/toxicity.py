@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +101,12 @@ def _codes(text: str, alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]
     return code, np.where((x[t] > 0).all(axis=1), w, 0) / NORMS[len(text)]
 
 
+def _coded(texts: list[str], alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triples of all texts, their weights and their texts' numbers."""
+    coded = [_codes(x, alphabet) for x in texts]
+    return np.concatenate([a for a, _ in coded]), np.concatenate([b for _, b in coded]), np.repeat(np.arange(len(coded)), [len(a) for a, _ in coded])
+
+
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, classes of equal weight in all, by Newton steps on the active set."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -119,68 +125,68 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np
     return w[:-1], float(w[-1])
 
 
-def train(bags: list[tuple[set[str], int]], landmarks: int = 192, rounds: int = 3, c: float = 300.0) -> Machine:
-    """A machine from (units, label) of documents."""
-    toxic = [b for b, y in bags if y and b]
-    clean = [b for b, y in bags if not y and b]
-    bad, good = Counter(u for b in toxic for u in b), Counter(u for b in clean for u in b)
-    often = Counter(ch for u in list(bad) for ch in "^" + letters(u) + "$")
-    alphabet = {ch: i + 1 for i, (ch, _) in enumerate((p for p in often.most_common() if ord(p[0]) < 1 << 16), ) if i + 1 < ALPHABET}
-    empty = Machine(alphabet, np.zeros(ALPHABET**3, np.float32), -1.0, 1.0, -3.0)
+def train(bags: Iterable[tuple[Iterable[str], int]], landmarks: int = 160, rounds: int = 3, c: float = 300.0) -> Machine:
+    """A machine from (units, label) of documents.  Units are numbered once; documents are arrays of numbers."""
+    number: dict[str, int] = {}
+    held = [(np.array(sorted({number.setdefault(u, len(number)) for u in b if u}), np.int32), y) for b, y in bags]
+    names = list(number)
+    number.clear()
+    toxic, clean = ([b for b, y in held if bool(y) == kind and len(b)] for kind in (True, False))
+    count = lambda some: np.bincount(np.concatenate(some), minlength=len(names)) if some else np.zeros(len(names), np.int64)
+    bad, good = count(toxic), count(clean)
+    often: Counter = Counter()
+    for i in np.flatnonzero(bad):
+        often.update("^" + letters(names[i]) + "$")
+    alphabet = {ch: i for i, ch in enumerate([p for p, _ in often.most_common() if ord(p) < 1 << 16][: ALPHABET - 1], 1)}
+    machine = Machine(alphabet, np.zeros(ALPHABET**3, np.float32), -1.0, 1.0, -3.0)
     if not toxic or not clean:
-        empty.shift = -3.0 if clean or not toxic else 3.0
-        return empty
-
-    def odds(u: str) -> float:
-        return float(np.log((bad[u] + 0.1) / (len(toxic) + 1)) - np.log((good[u] + 0.5) / (len(clean) + 1)))
-
-    value = {u: odds(u) * min(1.0, bad[u] / 3) for u in bad}
-    rng = np.random.default_rng(7)
-    rare = sorted(good)
-    against = {u for u, _ in good.most_common(600)} | {rare[i] for i in rng.integers(0, len(rare), 2000)}
-    machine = empty
-    every = sorted({u for b in toxic for u in b} | set(rare))
+        machine.shift = 3.0 if toxic else -3.0
+        return machine
+
+    odds = np.log((bad + 0.1) / (len(toxic) + 1)) - np.log((good + 0.5) / (len(clean) + 1))
+    value = (odds * np.minimum(1.0, bad / 3)).astype(np.float32)
+    allowed = bad * len(clean) > 3 * good * len(toxic)
+    common = np.argsort(-good, kind="stable")
+    seen = np.flatnonzero(good)
+    against = set(common[:600][good[common[:600]] > 0].tolist()) | set(np.random.default_rng(7).choice(seen, min(2000, len(seen)), replace=False).tolist())
     for step in range(rounds):
         # witnesses: up to three units of each toxic document, which must be commoner there than in clean ones
         chosen: Counter = Counter()
         for b in toxic:
-            fit = sorted((u for u in b if bad[u] * len(clean) > 3 * good[u] * len(toxic)), key=lambda u: (-value[u], u))[:3]
-            best = value[fit[0]] if fit else 0.0
-            chosen.update(u for u in fit if u == fit[0] or value[u] >= best - (1.0 if step else 0.7 * abs(best)))
+            fit = b[allowed[b]]
+            fit = fit[np.argsort(-value[fit], kind="stable")[:3]]
+            if len(fit):
+                best = value[fit[0]]
+                chosen.update(fit[value[fit] >= best - (1.0 if step else 0.7 * abs(best))].tolist())
         positive = [u for u, _ in chosen.most_common(3000)]
         negative = sorted(against - set(positive))
         if not positive or not negative:
             break
         # an insult with a letter put in it is an insult
-        gapped = [(u[:i] + "xzq*"[i % 4] + u[i:], n) for u, n in chosen.most_common(60) if len(letters(u)) >= 5 for i in range(2, len(u) - 1)]
-        sample = [(x, 1.0, float(chosen[u])) for u in positive for x in chunks(u)] + [(x, 1.0, n / 10) for u, n in gapped for x in chunks(u)] + [(x, -1.0, 1 + np.log1p(good[u])) for u in negative for x in chunks(u)]
-        marks = list(dict.fromkeys(x for u in positive for x in chunks(u)))[: landmarks // 2]
-        marks += [x for u in negative[:: max(1, len(negative) // (landmarks - len(marks)))] for x in chunks(u)][: landmarks - len(marks)]
-        coded = [_codes(x, alphabet) for x, _, _ in sample]
-        lengths = [len(a) for a, _ in coded]
-        ids, weights = np.concatenate([a for a, _ in coded]), np.concatenate([b for _, b in coded])
-        owner = np.repeat(np.arange(len(coded)), lengths)
-
-        def against_mark(mark: str, ids=ids, weights=weights, owner=owner, n=len(coded)) -> tuple[np.ndarray, np.ndarray]:
-            a, b = _codes(mark, alphabet)
-            dense = np.bincount(a, b, ALPHABET**3).astype(np.float32)
-            return np.bincount(owner, dense[ids] * weights, n), dense
-
-        kernel, dense = zip(*(against_mark(m) for m in marks), strict=True)
-        kernel = np.array(kernel).T
-        mm = np.array([[d[a] @ b for d in dense] for a, b in (_codes(m, alphabet) for m in marks)])
+        gapped = [(names[u][:i] + "xzq*"[i % 4] + names[u][i:], n) for u, n in chosen.most_common(60) if len(letters(names[u])) >= 5 for i in range(2, len(names[u]) - 1)]
+        sample = [(x, 1.0, float(chosen[u])) for u in positive for x in chunks(names[u])] + [(x, 1.0, n / 10) for u, n in gapped for x in chunks(u)]
+        sample += [(x, -1.0, 1 + np.log1p(good[u])) for u in negative for x in chunks(names[u])]
+        marks = list(dict.fromkeys(x for u in positive for x in chunks(names[u])))[: landmarks // 2]
+        marks += [x for u in negative[:: max(1, len(negative) // (landmarks - len(marks)))] for x in chunks(names[u])][: landmarks - len(marks)]
+        ids, weights, owner = _coded([x for x, _, _ in sample], alphabet)
+        mark_ids, mark_weights, mark_owner = _coded(marks, alphabet)
+        kernel, mm = np.empty((len(sample), len(marks))), np.empty((len(marks), len(marks)))
+        for i in range(len(marks)):
+            own = mark_owner == i
+            dense = np.bincount(mark_ids[own], mark_weights[own], ALPHABET**3)
+            kernel[:, i] = np.bincount(owner, dense[ids] * weights, len(sample))
+            mm[:, i] = np.bincount(mark_owner, dense[mark_ids] * mark_weights, len(marks))
         values, vectors = np.linalg.eigh((mm + mm.T) / 2)
         large = values > 1e-6 * values.max()
         root = vectors[:, large] / np.sqrt(values[large])
         w, bias = _svm(kernel @ root, np.array([y for _, y, _ in sample]), np.array([n for _, _, n in sample]), c)
-        table = sum(a * d for a, d in zip(root @ w, dense, strict=True)).astype(np.float32)
+        table = np.bincount(mark_ids, mark_weights * (root @ w)[mark_owner], ALPHABET**3).astype(np.float32)
         machine = Machine(alphabet, table, bias, 1.0, 0.0)
-        value = dict(zip(every, machine.decide(every).tolist(), strict=True))
-        worst = sorted((max(b, key=lambda u: (value[u], u)) for b in clean), key=lambda u: -value[u])
+        value = np.concatenate([machine.decide(names[a : a + 50_000]) for a in range(0, len(names), 50_000)])
+        worst = sorted((int(b[np.argmax(value[b])]) for b in clean), key=lambda u: -value[u])
         against |= set(worst[: len(worst) // 2])
-    top = np.array([max((value[u] for u in b), default=-2.0) for b, _ in bags])
-    y = np.array([float(t) for _, t in bags])
-    machine.scale, machine.shift = _calibrate(top, y)
+    top = np.array([value[b].max() if len(b) else -2.0 for b, _ in held], np.float64)
+    machine.scale, machine.shift = _calibrate(top, np.array([float(t) for _, t in held]))
     return machine
 
 
@@ -221,8 +227,8 @@ def fit(df: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: in
         for batch in batches:
             yield batch_of([(d, "\n".join(sorted(units(t))), y) for d, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)], "doc_id long, units string, toxic int")
 
-    found = sorted(map(tuple, rows.mapInArrow(go, "doc_id long, units string, toxic int").collect()))
-    return train([(set(u.split("\n")) - {""}, y) for _, u, y in found])
+    found = rows.mapInArrow(go, "doc_id long, units string, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("units", "ascending")])
+    return train((u.as_py().split("\n"), y.as_py()) for u, y in zip(found["units"], found["toxic"], strict=True))
 
 
 _ROWS = "doc_id long, value double, score double, predicted int"

@@ -37,8 +37,8 @@ def sample():
 
 def test_remove_repeats(spark, monkeypatch):
     rows = sample()
-    for width, gram, batches in ((12, 4, 3), (35, 8, 1)):
-        got = substring.remove_repeats(spark.createDataFrame(rows, SCHEMA), width, gram, batches)
+    for width, gram, batches, hot in ((12, 4, 3, 1000), (12, 4, 1, 3), (35, 8, 1, 1000)):
+        got = substring.remove_repeats(spark.createDataFrame(rows, SCHEMA), width, gram, batches, hot=hot)
         assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute(rows, width)
     assert substring.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BLOCK_BYTES, batch_of, blocks, covered, documents, filesystem, partitions, rolling, scratch, sliding_max, sliding_min, word_hashes, word_spans
+from .common import BLOCK_BYTES, batch_of, blocks, covered, documents, filesystem, materialise, mix, partitions, rolling, scratch, sliding_max, sliding_min, word_hashes, word_spans
 
 _GRAM_BASE, _WINDOW_BASE = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
@@ -110,14 +110,17 @@ class FingerprintIndex:
             fs, at = filesystem(path)
             fs.delete_dir(at)
 
-    def repeated(self) -> DataFrame:
-        """rk, vs: of each document the fingerprints that occur more than once in all runs together.
+    def repeated(self, hot: int = 1000) -> DataFrame:
+        """rk, vs, hot: of each document the fingerprints that occur more than once in all runs together, and those of them that more
+        than ``hot`` documents have.
 
-        Counts are partly summed before they are shuffled; the join's large side can be split where one fingerprint is frequent.
+        Counts are partly summed before they are shuffled, and written; so the join's large side can be split where one fingerprint
+        is frequent.
         """
         rows = self.read()
-        often = rows.groupBy("v").agg(F.sum("n").alias("c")).where("c > 1").select("v")
-        return rows.join(often, "v").groupBy("rk").agg(F.collect_list("v").alias("vs"))
+        counts = rows.groupBy("v").agg(F.sum("n").alias("c"), F.count("*").alias("docs")).where("c > 1")
+        often = materialise(counts.select("v", (F.col("docs") > hot).alias("hot")), "repeated")
+        return rows.join(often, "v").groupBy("rk").agg(F.collect_list("v").alias("vs"), F.collect_list(F.when(F.col("hot"), F.col("v"))).alias("hot"))
 
 
 class SentTwice:
@@ -161,7 +164,9 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """Windows (of docs: rk, d, text, vs) whose fingerprint is repeated, to be settled by fingerprint.
+    """Windows (of docs: rk, d, text, vs, hot) whose fingerprint is repeated, to be settled by fingerprint.
+
+    Windows of a hot fingerprint, such as those around a line that very many documents have, are dealt by their own hashes instead.
 
     Of equal windows a task sends the first two, enough to settle them; all later ones are settled at once: their rows have no
     hashes and are dealt by document.  So a passage that a third of all documents hold is sent twice by each task.
@@ -170,7 +175,7 @@ def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = SentTwice()
         for batch in batches:
-            rk, d, vs = batch.column("rk").to_numpy(), batch.column("d").to_numpy(), batch.column("vs")
+            rk, d, vs, hots = batch.column("rk").to_numpy(), batch.column("d").to_numpy(), batch.column("vs"), batch.column("hot")
             for at, texts in text_blocks(batch):
                 block = Block(texts, width, gram)
                 wanted = np.unique(vs.slice(at, len(texts)).flatten().to_numpy().view(np.uint64))
@@ -179,12 +184,14 @@ def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
                     continue
                 h, v = rolling(block.words, width, _WINDOW_BASE)[j], block.fingerprints[j]
                 ok = sent.admit(h ^ (v * np.uint64(0x9E3779B97F4A7C15)))
+                frequent = np.isin(v, np.unique(hots.slice(at, len(texts)).flatten().to_numpy().view(np.uint64)))
+                route = np.where(frequent, mix(v ^ h), v)
                 rows: list[tuple] = []
                 for some, settle in ((j[ok], True), (j[~ok], False)):
                     if not len(some):
                         continue
                     doc = block.owner[some]
-                    f = block.fingerprints[some]
+                    f = route[ok if settle else ~ok]
                     cut = np.flatnonzero((doc[1:] != doc[:-1]) | (some[1:] != some[:-1] + 1) | (settle & (f[1:] != f[:-1]))) + 1
                     starts, ends = np.r_[0, cut], np.r_[cut, len(some)]
                     if settle:
@@ -279,7 +286,7 @@ def places_of(found: list[bytes] | None, d: int) -> np.ndarray:
 _REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def remove_repeats(df: DataFrame, width: int = 35, gram: int = 8, batches: int = 2, texts: bool = True, folder: str | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, width: int = 35, gram: int = 8, batches: int = 2, texts: bool = True, folder: str | None = None, hot: int = 1000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row, without words of windows that start anywhere else too.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; null texts have none.  Windows are judged on the input.  Rows that repeat, doc_id and all,
@@ -290,7 +297,7 @@ def remove_repeats(df: DataFrame, width: int = 35, gram: int = 8, batches: int =
     index = FingerprintIndex(spark, folder or scratch(spark, "fingerprints"))
     for b in range(batches):
         index.append(fingerprints(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b) if batches > 1 else docs, width, gram))
-    found = settle(candidates(docs.join(index.repeated(), "rk").select("rk", ordered_id(), "text", "vs"), width, gram))
+    found = settle(candidates(docs.join(index.repeated(hot), "rk").select("rk", ordered_id(), "text", "vs", "hot"), width, gram))
     told = found.groupBy("rk").agg(F.collect_list("found").alias("found"))
     joined = docs.join(told, "rk", "left").select("doc_id", ordered_id(), "text", "found")
 

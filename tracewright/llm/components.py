@@ -11,7 +11,7 @@ def components(edges: DataFrame) -> DataFrame:
     """id, root of each node of ``edges`` (a, b): root is the smallest identifier of its component.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until nothing changes; each round is written to the shared
-    folder.  Minima are partly aggregated before shuffles, and joins on a node with very many neighbours can be split.
+    folder.  Minima are partly aggregated before shuffles and written, so that joins on a node with very many neighbours can be split.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -21,9 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root").unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialise(large, "large")
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = materialise(small.where("a <> b").distinct(), "edges")

@@ -21,7 +21,7 @@ _RUN = re.compile(r"\s ")
 class Encoder:
     """``encode(text)`` gives the ids as bytes of ``dtype``; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 250_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, documents
+from .common import batch_of, documents, tidied
 
 _WORD = re.compile(r"\w+")
 
@@ -125,7 +125,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, chars: int = 16, block_bytes: int
                 if rows:
                     yield batch_of(rows, _ROWS)
 
-        part = docs.mapInArrow(go, _ROWS)
+        part = docs.mapInArrow(tidied(go), _ROWS)
         out = part if out is None else out.unionByName(part)
     return out
 

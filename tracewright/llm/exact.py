@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, filesystem, partitions, scratch
+from .common import documents, filesystem, partitions, scratch, tidied
 
 
 def normalised(text: bytes) -> bytes:
@@ -169,7 +169,7 @@ class SpillingTrie:
 _OWNERS = "text_sha256 string, keep_id long, group_size long"
 
 
-def owners(df: DataFrame, limit: int = 48 << 20) -> DataFrame:
+def owners(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
     """text_sha256, keep_id, group_size of each distinct normalised text of (doc_id not null, text).
 
     Each input task combines its copies in a trie of at most ``limit`` bytes before the shuffle, so a text that a third of all rows
@@ -218,8 +218,8 @@ def owners(df: DataFrame, limit: int = 48 << 20) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist([dict(zip(("text_sha256", "keep_id", "group_size"), r, strict=True)) for r in rows])
 
-    sent = df.mapInArrow(combine, "text binary, bytes long, h long, text_sha256 string, owner long, n long").drop("text_sha256")
-    return sent.repartition(partitions(df.sparkSession), "bytes", "h").select("text", "owner", "n").mapInArrow(own, _OWNERS)
+    sent = df.mapInArrow(tidied(combine), "text binary, bytes long, h long, text_sha256 string, owner long, n long").drop("text_sha256")
+    return sent.repartition(partitions(df.sparkSession), "bytes", "h").select("text", "owner", "n").mapInArrow(tidied(own), _OWNERS)
 
 
 def digest() -> F.Column:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, materialise, mix, partitions, rolling, word_hashes, word_spans
+from .common import batch_of, materialise, mix, partitions, rolling, tidied, word_hashes, word_spans
 from .components import components
 from .substring import keyed, ordered_id, text_blocks
 
@@ -74,7 +74,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 ids, ds, rks = (batch.column(c).slice(at, k) for c in ("doc_id", "d", "rk"))
                 yield pa.RecordBatch.from_arrays([ids, ds, rks, pa.array(node), pa.array(check), pa.array(size.astype(np.int64)), pa.array([r.tobytes() for r in signature], pa.binary())], [x.split()[0] for x in _SETS.split(", ")])
 
-    return docs.select("doc_id", ordered_id(), "rk", "text").mapInArrow(go, _SETS)
+    return docs.select("doc_id", ordered_id(), "rk", "text").mapInArrow(tidied(go), _SETS)
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def _walk(nodes: DataFrame, runs: int | None) -> DataFrame:
                 node = batch.column("node").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node[row]), pa.array(low.view(np.int64)[row]), pa.array(high.view(np.int64)[row])], ["path", "node", "low", "high"])
 
-    return nodes.mapInArrow(go, _PATHS)
+    return nodes.mapInArrow(tidied(go), _PATHS)
 
 
 def _stars(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
@@ -192,7 +192,7 @@ def _compare(sorted_rows: DataFrame, most: int) -> DataFrame:
         if n:
             yield flush(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return sorted_rows.select("path", "node", "low", "high").mapInArrow(go, _EDGES)
+    return sorted_rows.select("path", "node", "low", "high").mapInArrow(tidied(go), _EDGES)
 
 
 def proposals(nodes: DataFrame, threshold: float, runs: int, small: int = 4096, steps: int = 6) -> DataFrame:
@@ -290,7 +290,7 @@ def _exact_links(members: DataFrame, n: int, threshold: float, block: int) -> Da
         if out:
             yield batch_of(out, _LINKS)
 
-    return met.mapInArrow(go, _LINKS)
+    return met.mapInArrow(tidied(go), _LINKS)
 
 
 def runs_for(threshold: float, recall: float) -> int:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import encoder
-from .common import documents, filesystem, partitions, scratch
+from .common import documents, filesystem, partitions, scratch, tidied
 
 MAGIC = b"TWSST\x00\x00\x01"
 _FOOTER = struct.Struct("<QQQIIQQIIxxxxxxxx8s")
@@ -239,7 +239,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int, shards
             out.finish()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [uri], "n_docs": [n_docs], "n_tokens": [out.tokens]})
 
-    rows = docs.select("doc_id", "text").mapInArrow(write, "shard int, path string, n_docs long, n_tokens long").collect()
+    rows = docs.select("doc_id", "text").mapInArrow(tidied(write), "shard int, path string, n_docs long, n_tokens long").collect()
     return spark.createDataFrame(sorted(rows), "shard int, path string, n_docs long, n_tokens long")
 
 
@@ -267,7 +267,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 doc_id, first, n, crc = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return plan.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return plan.mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_shards(df: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:

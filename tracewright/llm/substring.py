@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BLOCK_BYTES, batch_of, blocks, covered, documents, filesystem, materialise, mix, partitions, rolling, scratch, sliding_max, sliding_min, word_hashes, word_spans
+from .common import batch_of, BLOCK_BYTES, blocks, covered, documents, filesystem, materialise, mix, partitions, rolling, scratch, sliding_max, sliding_min, tidied, word_hashes, word_spans
 
 _GRAM_BASE, _WINDOW_BASE = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 if len(new):
                     yield pa.RecordBatch.from_arrays([pa.array(v[new].view(np.int64)), pa.array(keys[at + doc[new]]), pa.array(np.minimum(n, 2).astype(np.int32))], ["v", "rk", "n"])
 
-    return docs.select("rk", "text").mapInArrow(go, "v long, rk long, n int")
+    return docs.select("rk", "text").mapInArrow(tidied(go), "v long, rk long, n int")
 
 
 class FingerprintIndex:
@@ -207,7 +207,7 @@ def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
                         rows.append((int(rk[i]), int(rk[i]), int(d[i]), runs[a:b].tobytes(), None))
                 yield batch_of(rows, _ROUTED)
 
-    return docs.mapInArrow(go, _ROUTED)
+    return docs.mapInArrow(tidied(go), _ROUTED)
 
 
 def settle(routed: DataFrame, at_once: int = 4 << 20) -> DataFrame:
@@ -261,7 +261,7 @@ def settle(routed: DataFrame, at_once: int = 4 << 20) -> DataFrame:
         if held:
             yield flush(held)
 
-    return routed.repartition(partitions(routed.sparkSession), "route").sortWithinPartitions("route").mapInArrow(go, "rk long, found binary")
+    return routed.repartition(partitions(routed.sparkSession), "route").sortWithinPartitions("route").mapInArrow(tidied(go), "rk long, found binary")
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -313,5 +313,5 @@ def remove_repeats(df: DataFrame, width: int = 35, gram: int = 8, batches: int =
                 out.append((doc_id, len(words), len(words) - left, hashlib.sha256(rest).hexdigest(), rest.decode() if texts else None))
             yield batch_of(out, _REMOVED)
 
-    result = joined.mapInArrow(go, _REMOVED)
+    result = joined.mapInArrow(tidied(go), _REMOVED)
     return result if texts else result.drop("kept_text")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, documents
+from .common import batch_of, documents, tidied
 
 LONGEST, SPAN, DECAY, ALPHABET = 24, 7, 0.7, 64
 _LONE = re.compile(r"(?<!\S)(?:\w\s){2,}\w(?!\S)")
@@ -227,14 +227,14 @@ def fit(df: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: in
         for batch in batches:
             yield batch_of([(d, "\n".join(sorted(units(t))), y) for d, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)], "doc_id long, units string, toxic int")
 
-    found = rows.mapInArrow(go, "doc_id long, units string, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("units", "ascending")])
+    found = rows.mapInArrow(tidied(go), "doc_id long, units string, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("units", "ascending")])
     return train((u.as_py().split("\n"), y.as_py()) for u, y in zip(found["units"], found["toxic"], strict=True))
 
 
 _ROWS = "doc_id long, value double, score double, predicted int"
 
 
-def score(df: DataFrame, machine: Machine, cached: int = 300_000) -> DataFrame:
+def score(df: DataFrame, machine: Machine, cached: int = 200_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text; an empty or null text has the value of a clean unit."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +260,13 @@ def score(df: DataFrame, machine: Machine, cached: int = 300_000) -> DataFrame:
                 t = text.as_py()
                 bags.append(units(t))
                 size += len(t)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield finish(bags, ids[done : n + 1])
                     bags, size, done = [], 0, n + 1
             if bags:
                 yield finish(bags, ids[done:])
 
-    return documents(df).mapInArrow(go, _ROWS).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return documents(df).mapInArrow(tidied(go), _ROWS).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import partitions
+from .common import partitions, tidied
 
 ALLOW, BLOCK = "allow", "block"
 _ROWS = "page_id long, host string, path string, rule string, verdict string"
@@ -58,9 +58,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW, sample: int
 
     r = rules.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     r = r.withColumn("key", reversed_host(F.col("host"))).withColumn("to", F.concat("key", F.lit("\U0010ffff")))
-    r = r.mapInArrow(bucket("key", "to"), "host string, path string, verdict string, key string, to string, key_at int, to_at int")
+    r = r.mapInArrow(tidied(bucket("key", "to")), "host string, path string, verdict string, key string, to string, key_at int, to_at int")
     r = r.select(F.explode(F.sequence("key_at", "to_at")).alias("at"), "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
-    p = p.mapInArrow(bucket("key"), "page_id long, host string, path string, key string, key_at int")
+    p = p.mapInArrow(tidied(bucket("key")), "page_id long, host string, path string, key string, key_at int")
     p = p.select(F.col("key_at").alias("at"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
     both = r.unionByName(p).repartition(partitions(pages.sparkSession), "at").sortWithinPartitions("at", "key", "kind")
 
@@ -92,4 +92,4 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW, sample: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.string()] * 4], strict=True)], ["page_id", "host", "path", "rule", "verdict"])
 
-    return both.mapInArrow(sweep, _ROWS)
+    return both.mapInArrow(tidied(sweep), _ROWS)

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, documents
+from .common import batch_of, documents, tidied
 
 
 class Automaton:
@@ -133,4 +133,4 @@ def token_counts(df: DataFrame, path: str) -> DataFrame:
             texts = [t.as_buffer().to_pybytes() for t in batch.column("text")]
             yield batch_of([(d, len(t), *counter.text(t)) for d, t in zip(batch.column("doc_id").to_pylist(), texts, strict=True)], _ROWS)
 
-    return documents(df).mapInArrow(go, _ROWS)
+    return documents(df).mapInArrow(tidied(go), _ROWS)

@@ -21,7 +21,7 @@ _RUN = re.compile(r"\s ")
 class Encoder:
     """``encode(text)`` gives the ids as bytes of ``dtype``; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, cached: int = 250_000):
+    def __init__(self, path: str, cached: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -41,16 +41,22 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def _piece(self, mapped: str) -> bytes:
-        found = self.pieces.get(mapped)
-        if found is None:
-            found = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(mapped)])
-            if len(self.pieces) >= self.cached:
-                self.pieces.clear()
-            if len(mapped) <= 64:
-                self.pieces[mapped] = found
+    def _ids(self, mapped: str) -> bytes:
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(mapped)])
+
+    def _keep(self, cache: dict[str, bytes], key: str, found: bytes) -> bytes:
+        if len(cache) >= self.cached:
+            cache.clear()
+        if len(key) <= 64:
+            cache[key] = found
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pattern.  A piece with its space is also a unit, and is kept as one."""
+        cache, key = (self.units, piece[1:]) if piece[0] == " " and len(piece) > 1 else (self.pieces, piece)
+        found = cache.get(key)
+        return self._keep(cache, key, self._ids(piece.encode().decode("latin-1").translate(self.letters))) if found is None else found
+
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -69,17 +75,13 @@ class Encoder:
 
     def _after_space(self, unit: str) -> bytes:
         """Kept under the unit without its space."""
-        found = self._bare(" " + unit)
-        if len(self.units) >= self.cached:
-            self.units.clear()
-        if len(unit) <= 64:
-            self.units[unit] = found
-        return found
+        return self._keep(self.units, unit, self._bare(" " + unit))
 
     def _bare(self, unit: str) -> bytes:
-        if _PLAIN.match(unit):
-            return b"".join([self._piece(p.encode().decode("latin-1").translate(self.letters)) for p in _PIECES.findall(unit)])
-        return b"".join([self._piece(p) for p, _ in self.pre.pre_tokenize_str(unit)])
+        if not _PLAIN.match(unit):
+            return b"".join([self._ids(p) for p, _ in self.pre.pre_tokenize_str(unit)])
+        pieces = _PIECES.findall(unit)
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
 
 
 _encoders: dict[str, Encoder] = {}

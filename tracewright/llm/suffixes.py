@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _BYTE, batch_of, covered, mix, partitions, powers, rolling, sliding_max, sliding_min
+from .common import batch_of, _BYTE, covered, mix, partitions, powers, rolling, sliding_max, sliding_min, tidied
 from .substring import keyed, ordered_id, text_blocks
 
 _BASE, _SPAN_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -124,7 +124,7 @@ def _anchor_pieces(docs: DataFrame, width: int, gram: int, buckets: int, chunk_e
         if n:
             yield pieces(part, seq, np.concatenate(vs), np.concatenate(owners), np.concatenate(keys))
 
-    return docs.select("rk", "text").mapInArrow(go, _PIECES)
+    return docs.select("rk", "text").mapInArrow(tidied(go), _PIECES)
 
 
 def _repeated(pieces: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def _repeated(pieces: DataFrame) -> DataFrame:
             yield batch_of(out, _PIECES)
 
     n = partitions(pieces.sparkSession)
-    return pieces.repartition(n, "route").sortWithinPartitions("route").mapInArrow(go, _PIECES)
+    return pieces.repartition(n, "route").sortWithinPartitions("route").mapInArrow(tidied(go), _PIECES)
 
 
 def _by_document(pieces: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _by_document(pieces: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield from finish(held)
 
-    return pieces.repartition(partitions(pieces.sparkSession), "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(go, "rk long, vs binary")
+    return pieces.repartition(partitions(pieces.sparkSession), "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tidied(go), "rk long, vs binary")
 
 
 def _binaries(data: bytes, offsets: np.ndarray) -> pa.Array:
@@ -298,7 +298,7 @@ def _suffixes(docs: DataFrame, width: int, gram: int, splitters: np.ndarray, at_
         if parts:
             yield send(parts)
 
-    return docs.mapInArrow(go, _SUFFIXES)
+    return docs.mapInArrow(tidied(go), _SUFFIXES)
 
 
 _ENTRY = np.dtype([("start", "<u4"), ("mask", "<u8")])
@@ -343,7 +343,7 @@ def multikey_order(digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def _settle(rows: list[tuple], width: int, gram: int) -> tuple[np.ndarray, ...]:
+def _settle(rows: list[tuple], width: int, gram: int) -> np.ndarray:
     """Windows of one range's suffixes that also begin in a document with a smaller identifier."""
     heads, places, bodies = [], [], []
     unpack = zstandard.ZstdDecompressor().decompress
@@ -394,8 +394,10 @@ def _settle(rows: list[tuple], width: int, gram: int) -> tuple[np.ndarray, ...]:
             hashed += _BYTE[wide[:, reach - 1 - o]] * power
             power = np.uint64(int(power) * _BASE & (1 << 64) - 1)
     hit = np.repeat(mask != 0, h["places"])
-    spread = lambda x: np.repeat(x, h["places"])[hit]
-    return spread(h["rk"]), spread(d), where[hit].astype(np.int64), spread(mask)
+    out = np.empty(int(hit.sum()), _ANSWER)
+    out["rk"], out["d"], out["mask"] = (np.repeat(x, h["places"])[hit] for x in (h["rk"], d, mask))
+    out["start"] = where[hit]
+    return out
 
 
 def _exactly(windows: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -406,43 +408,86 @@ def _exactly(windows: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.array([least[k] < x for k, x in zip(keys, d.tolist(), strict=True)])
 
 
+_ANSWER = np.dtype([("rk", "<i8"), ("d", "<i8"), ("start", "<u4"), ("mask", "<u8")])
+
+
 def _settled(suffixes: DataFrame, width: int, gram: int) -> DataFrame:
-    """rk, found of all windows to remove."""
+    """rk, found (one value for each identifier: its 8 bytes and entries) of all windows to remove, one row for each row key.
 
-    def told(found: list[tuple]) -> pa.RecordBatch:
-        return _told(*(np.concatenate(c) for c in zip(*found, strict=True))).select(["rk", "head"]).rename_columns(["rk", "found"])
+    A range's answers go out in one packed row for each bucket of row keys, and are unpacked where all of a bucket's meet.
+    """
+    n_buckets = partitions(suffixes.sparkSession)
+
+    def pack(found: list[np.ndarray]) -> pa.RecordBatch:
+        answers = np.concatenate(found)
+        bucket = (answers["rk"].view(np.uint64) >> np.uint64(20)) % np.uint64(n_buckets)
+        order = np.lexsort((answers["start"], answers["rk"], bucket))
+        answers, bucket = answers[order], bucket[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        rows = []
+        for a, b in zip(cut, np.r_[cut[1:], len(answers)], strict=True):
+            some = answers[a:b]
+            rows.append((int(bucket[a]), squeeze(b"".join(np.ascontiguousarray(some[c]).tobytes() for c in _ANSWER.names))))
+        return batch_of(rows, "bucket int, answers binary")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        found: list[tuple] = []
+        found: list[np.ndarray] = []
         last, n = None, 0
-
-        def settle() -> None:
-            nonlocal held, n
-            found.append(_settle(held, width, gram))
-            held, n = [], n + len(found[-1][0])
-
         for batch in batches:
-            done = []
             for route, kind, rk, head, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind:
-                    done.append((rk, head))
-                    continue
-                if held and route != last:
-                    settle()
-                    if n > 2_000_000:
-                        yield told(found)
-                        found, n = [], 0
-                held.append((head, body))
-                last = route
-            if done:
-                yield batch_of(done, "rk long, found binary")
+                if not kind:
+                    if held and route != last:
+                        found.append(_settle(held, width, gram))
+                        held, n = [], n + len(found[-1])
+                    held.append((head, body))
+                    last = route
+                else:
+                    entries = np.frombuffer(head, _ENTRY, offset=8)
+                    told = np.empty(len(entries), _ANSWER)
+                    told["rk"], told["d"], told["start"], told["mask"] = rk, int.from_bytes(head[:8], "little", signed=True), entries["start"], entries["mask"]
+                    found.append(told)
+                    n += len(told)
+                if n > 1_000_000:
+                    yield pack(found)
+                    found, n = [], 0
         if held:
-            settle()
+            found.append(_settle(held, width, gram))
+            n += len(found[-1])
         if n:
-            yield told(found)
+            yield pack(found)
 
-    return suffixes.repartition(partitions(suffixes.sparkSession), "route").sortWithinPartitions("route").mapInArrow(go, "rk long, found binary")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loose = zstandard.ZstdDecompressor().decompress
+        parts = []
+        for batch in batches:
+            for blob in batch.column("answers"):
+                raw = loose(blob.as_py())
+                m, at = len(raw) // _ANSWER.itemsize, 0
+                part = np.empty(m, _ANSWER)
+                for c in _ANSWER.names:
+                    part[c] = np.frombuffer(raw, _ANSWER[c], m, at)
+                    at += m * _ANSWER[c].itemsize
+                parts.append(part)
+        if not parts:
+            return
+        x = np.concatenate(parts)
+        x = x[np.lexsort((x["start"], x["d"], x["rk"]))]
+        entries = np.empty(len(x), _ENTRY)
+        entries["start"], entries["mask"] = x["start"], x["mask"]
+        raw, size = entries.tobytes(), _ENTRY.itemsize
+        lead = np.flatnonzero(np.r_[True, (x["rk"][1:] != x["rk"][:-1]) | (x["d"][1:] != x["d"][:-1])])
+        values = [int(x["d"][a]).to_bytes(8, "little", signed=True) + raw[a * size : b * size] for a, b in zip(lead, np.r_[lead[1:], len(x)], strict=True)]
+        keys = x["rk"][lead]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for a in range(0, len(first), 2000):
+            some = np.r_[first[a : a + 2000], first[a + 2000] if a + 2000 < len(first) else len(keys)]
+            found = pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(values[some[0] : some[-1]], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some[:-1]]), found], ["rk", "found"])
+
+    packed = suffixes.repartition(n_buckets, "route").sortWithinPartitions("route").mapInArrow(tidied(go), "bucket int, answers binary")
+    return packed.repartition(n_buckets, "bucket").select("answers").mapInArrow(tidied(unpack), "rk long, found array<binary>")
 
 
 def splitters_of(docs: DataFrame, width: int, gram: int, ranges: int, sample: int = 2000) -> np.ndarray:
@@ -455,7 +500,7 @@ def splitters_of(docs: DataFrame, width: int, gram: int, ranges: int, sample: in
                 block = Bytes(texts, width, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(_digits(block.data, block.anchors()[::8]).view(np.int64))], ["k"])
 
-    rows = docs.select("text").sample(min(1.0, sample / max(n, 1)), seed=5).limit(2 * sample).mapInArrow(go, "k long").collect()
+    rows = docs.select("text").sample(min(1.0, sample / max(n, 1)), seed=5).limit(2 * sample).mapInArrow(tidied(go), "k long").collect()
     keys = np.sort(np.array([r.k for r in rows], np.int64).view(np.uint64))
     return np.unique(keys[[i * len(keys) // ranges for i in range(1, ranges)]]) if len(keys) else keys
 
@@ -476,7 +521,7 @@ def remove_repeats(df: DataFrame, width: int = 50, gram: int = 18, kept: bool =
     told = _by_document(_repeated(_anchor_pieces(docs, width, gram, 4 * n)))
     splitters = splitters_of(docs, width, gram, 4 * n)
     candidates = docs.join(told, "rk").select("rk", ordered_id(), "text", "vs").sortWithinPartitions("d")
-    found = _settled(_suffixes(candidates, width, gram, splitters), width, gram).groupBy("rk").agg(F.collect_list("found").alias("found"))
+    found = _settled(_suffixes(candidates, width, gram, splitters), width, gram)
     joined = docs.join(found, "rk", "left").select("doc_id", ordered_id(), "text", "found")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,5 +541,5 @@ def remove_repeats(df: DataFrame, width: int = 50, gram: int = 18, kept: bool =
                 out.append((doc_id, len(data) + removed, removed, spans, hashlib.sha256(data).hexdigest(), data if kept else None))
             yield batch_of(out, _ROWS)
 
-    result = joined.mapInArrow(go, _ROWS)
+    result = joined.mapInArrow(tidied(go), _ROWS)
     return result if kept else result.drop("kept_bytes")

@@ -95,6 +95,35 @@ def test_leaks(spark):
     assert decontaminate.leaks(spark.createDataFrame([], SCHEMA), none).count() == 0
 
 
+def test_leaks_at_any_start():
+    """Items with their first words lost or edited at the very start of a text, and early pieces found after later ones."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    draw = lambda k: " ".join("".join(rng.choice(letters, 6)) for _ in range(k))
+    item = decontaminate.canonical(draw(22))
+    matcher = decontaminate.Matcher([(1, item)], 16)
+    lost = decontaminate.canonical(item.split(" ", 2)[2])
+    texts = [lost, lost + draw(5) + " ", " " + item[4:], " q" + item[3:], item[9:]]
+    for text in texts:
+        assert [d for _, d, _ in matcher.find(text)] == [distance(item, text)]
+    # the item's sixth piece recurs as its last: all pieces but the last are edited, so that piece first tells a later start
+    budget = 160 // 16
+    base = "".join(rng.choice(letters, 160))
+    (_, piece), (last, tail) = decontaminate.pieces(base, budget)[5], decontaminate.pieces(base, budget)[-1]
+    assert len(piece) == len(tail)
+    item = base[:last] + piece
+    text = item
+    for a, _ in decontaminate.pieces(item, budget)[:-1]:
+        text = text[: a + 3] + "#" + text[a + 4 :]
+    text = "x" * 400 + text + "x" * 400
+    assert distance(item, text) == budget
+    assert [d for _, d, _ in decontaminate.Matcher([(1, item)], 16).find(text)] == [budget]
+    texts = [a + edited(rng, item, k)[int(rng.integers(0, 9)) :] + b for k in range(8) for a in ("", item[-30:]) for b in ("", item[:30])]
+    for text in texts:
+        want = distance(item, text)
+        assert [d for _, d, _ in decontaminate.Matcher([(1, item)], 16).find(text)] == ([want] if want <= budget else [])
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(11)
     vocabulary = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 9))) for _ in range(400)]

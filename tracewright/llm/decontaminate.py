@@ -73,7 +73,7 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, distance, end) of each item that the text holds: the least distance, and the first end with it."""
         found: dict[int, tuple[int, int]] = {}
-        tried: dict[int, int] = {}
+        tried: set[tuple[int, int]] = set()
         for end, (size, places) in self.automaton.iter(text):
             for n, offset in places:
                 best = found.get(n)
@@ -84,13 +84,15 @@ class Matcher:
                 if start >= 0 and text.startswith(item, start):
                     found[n] = (0, start + len(item))
                     continue
-                if tried.get(n, -1) >= start:
-                    continue  # the last window begun for this item reaches as far
-                low = max(0, start - budget)
+                # starts, negative ones too, are dealt into stretches; one window serves all starts of a stretch, in any order
                 slack = 2 * budget + 8
-                tried[n] = start + slack
-                hit = myers(item, text[low : start + slack + len(item) + budget], best[0] - 1 if best else budget)
-                if hit:
+                stretch = start // slack
+                if (n, stretch) in tried:
+                    continue
+                tried.add((n, stretch))
+                low = max(0, stretch * slack - budget)
+                hit = myers(item, text[low : (stretch + 1) * slack + len(item) + budget], best[0] if best else budget)
+                if hit and (not best or (hit[0], low + hit[1]) < best):
                     found[n] = (hit[0], low + hit[1])
         return [(self.items[n][0], d, e) for n, (d, e) in sorted(found.items())]
 

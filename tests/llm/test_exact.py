@@ -31,6 +31,14 @@ def test_groups(spark):
     assert left.columns == ["doc_id", "text", "keep_id", "h"] and left.count() == sum(r[3] for r in brute(rows[:15]))
 
 
+def test_drop_judges_each_row(spark):
+    rows = [(3, "Y"), (5, "X"), (5, "Y"), (1, "a b"), (None, "a  b"), (None, "only here"), (None, None), (7, ""), (None, "both null"), (None, "both null"), (3, "Y")]
+    left = exact.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert left.columns == ["doc_id", "text"]
+    want = [(3, "Y"), (3, "Y"), (5, "X"), (1, "a b"), (None, "only here"), (7, ""), (None, "both null"), (None, "both null")]
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, want)) and len(want) == sum(r[3] for r in brute(rows))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=12).map(str.encode), max_size=60))
 def test_trie_with_spills(tmp_path_factory, texts):

@@ -67,6 +67,14 @@ def test_classes(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(int(d) for d, c, _, _, g in brute(rows[:-4], 5, 0.8) if d == c or not g)
 
 
+def test_drop_judges_each_row(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, other = " ".join(words), "no other text is like this one here"
+    rows = [(3, near), (5, other), (5, near + " more"), (5, near), (None, "nulls have their own words too"), (None, "other words altogether in this row"), (9, "nulls have their own words too")]
+    left = jaccard.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[5]]))
+
+
 def test_recall_of_runs():
     """Pairs at similarity 0.8 share a path as often as planned."""
     rng = np.random.default_rng(2)

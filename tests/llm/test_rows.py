@@ -124,6 +124,22 @@ def test_leaks_at_any_start():
         assert [d for _, d, _ in decontaminate.Matcher([(1, item)], 16).find(text)] == ([want] if want <= budget else [])
 
 
+def test_drops_judge_each_row(spark):
+    item = "Gamma delta epsilon alpha beta"
+    rows = [(1, "clean"), (2, f"so {item} it is"), (2, "clean too"), (None, item), (None, "a clean null"), (None, None), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontaminate.drop_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == df.columns
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str(r) for r in rows if not r[1] or item not in r[1])
+    train = [(i, "you dimwit there" if i % 3 == 0 else "good words only") for i in range(100, 220)]
+    rows = [(1, "good"), (2, "a dimwit"), (2, "words"), (None, "dimwit"), (None, "good words"), (None, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in train], "doc_id long, toxic int")
+    df = spark.createDataFrame(train + rows, "doc_id long, text string")
+    left = toxicity.drop_toxic(df, labels)
+    assert left.columns == df.columns
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str(r) for r in train + rows if "dimwit" not in (r[1] or ""))
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(11)
     vocabulary = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 9))) for _ in range(400)]

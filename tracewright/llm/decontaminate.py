@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, documents, tidied
+from .common import batch_of, tidied
+from .substring import keyed, without
 
 _WORD = re.compile(r"\w+")
 
@@ -97,7 +98,7 @@ class Matcher:
         return [(self.items[n][0], d, e) for n, (d, e) in sorted(found.items())]
 
 
-_ROWS = "doc_id long, item_id long, distance int, budget int, end long"
+_ROWS = "doc_id long, rk long, item_id long, distance int, budget int, end long"
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, chars: int = 16, block_bytes: int = 8 << 20) -> DataFrame:
@@ -107,7 +108,12 @@ def leaks(df: DataFrame, benchmark: DataFrame, chars: int = 16, block_bytes: int
     without words and null texts match nothing.  The items are a stated set of queries: they go to the tasks in blocks of at most
     ``block_bytes`` characters, each block over all documents, whatever the number of items.  Rows that repeat are judged one by one.
     """
-    docs = documents(df)
+    return _found(df, benchmark, chars, block_bytes).drop("rk")
+
+
+def _found(df: DataFrame, benchmark: DataFrame, chars: int = 16, block_bytes: int = 8 << 20) -> DataFrame:
+    """``leaks`` with the row key rk."""
+    docs = keyed(df)
     items = benchmark.select("item_id", F.col("text").alias("item")).where("item is not null and item_id is not null")
     total = items.agg(F.sum(F.length("item"))).first()[0] or 0
     n_blocks = int(total // (block_bytes // 2)) + 1
@@ -121,9 +127,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, chars: int = 16, block_bytes: int
             budgets = {i: len(t) // chars for i, t in wanted}
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                for doc_id, rk, text in zip(batch.column("doc_id").to_pylist(), batch.column("rk").to_pylist(), batch.column("text"), strict=True):
                     if matcher:
-                        rows += [(doc_id, i, d, budgets[i], e) for i, d, e in matcher.find(canonical(text.as_py()))]
+                        rows += [(doc_id, rk, i, d, budgets[i], e) for i, d, e in matcher.find(canonical(text.as_py()))]
                 if rows:
                     yield batch_of(rows, _ROWS)
 
@@ -133,6 +139,5 @@ def leaks(df: DataFrame, benchmark: DataFrame, chars: int = 16, block_bytes: int
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, chars: int = 16) -> DataFrame:
-    """``df`` without the rows whose doc_id has a leak; columns as they are."""
-    found = leaks(df, benchmark, chars).select(F.col("doc_id").alias("_leak")).distinct()
-    return df.join(found, df["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
+    """``df`` without the rows whose own text has a leak; columns as they are."""
+    return without(df, _found(df, benchmark, chars))

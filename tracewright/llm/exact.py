@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, filesystem, partitions, scratch, tidied
+from .common import filesystem, partitions, scratch, tidied
+from .substring import keyed, without
 
 
 def normalised(text: bytes) -> bytes:
@@ -233,19 +234,23 @@ def exact_groups(df: DataFrame) -> DataFrame:
     Null texts count as empty.  Of rows that repeat the smallest doc_id itself all are kept; rows whose doc_id is null count in
     their group's size and are never kept unless the whole group has none, when keep_id is null and all of it stays.
     """
-    docs = documents(df)
-    keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("doc_id"), "text")
-    found = owners(keyed).where("group_size > 1").withColumn("keep_id", F.when(F.col("keep_id") != (1 << 63) - 1, F.col("keep_id")))
-    rows = docs.select("doc_id", digest().alias("text_sha256"))
+    return _groups(df).drop("rk")
+
+
+def _groups(df: DataFrame) -> DataFrame:
+    """``exact_groups`` with the row key rk."""
+    docs = keyed(df)
+    known = docs.select(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("doc_id"), "text")
+    found = owners(known).where("group_size > 1").withColumn("keep_id", F.when(F.col("keep_id") != (1 << 63) - 1, F.col("keep_id")))
+    rows = docs.select("doc_id", "rk", digest().alias("text_sha256"))
     joined = rows.join(found, "text_sha256", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return joined.select("doc_id", "rk", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
-    """``df`` without the rows that ``exact_groups`` drops; columns as they are.
+    """``df`` with exactly the rows that ``exact_groups`` keeps; columns as they are.
 
-    Rows to drop are found by doc_id, so a table whose doc_ids repeat keeps each row of a kept doc_id.
+    Rows to drop are found by doc_id and text, so each row is judged by its own text even if its doc_id is repeated or null.
     """
-    lost = exact_groups(df).where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
-    return df.join(lost, df["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
+    return without(df, _groups(df).where(~F.col("kept")))

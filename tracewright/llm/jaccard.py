@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import batch_of, materialise, mix, partitions, rolling, tidied, word_hashes, word_spans
 from .components import components
-from .substring import keyed, ordered_id, text_blocks
+from .substring import keyed, ordered_id, text_blocks, without
 
 COORDINATES, CHILDREN, FIRST_STEPS = 64, 2.0, 2
 _NGRAM_BASE = 0xC2B2AE3D27D4EB4F
@@ -313,6 +313,11 @@ def similarity_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, recall
     and copies connect.  Words are ``[^\\x20\\x09-\\x0D]+``.  A text of fewer than n words has one n-gram; texts without words, null
     ones too, are copies of each other and link to nothing.  A null doc_id is smaller than others: its class has a null class_id.
     """
+    return _classes(df, n, threshold, recall, small, block).drop("rk")
+
+
+def _classes(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 4096, block: int = 1024) -> DataFrame:
+    """``similarity_classes`` with the row key rk."""
     docs = keyed(df)
     sets = materialise(_sets(docs, n), "sets")
     nodes = sets.groupBy("node", "check").agg(F.min("d").alias("d"), F.count("*").alias("copies"), F.min("rk").alias("rk"), F.max("size").alias("size"))
@@ -332,12 +337,14 @@ def similarity_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, recall
     held = nodes.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = held.where("n_links is not null").groupBy("root").agg(F.min("d").alias("least"))
     known = held.join(least, "root", "left").where("copies > 1 or n_links is not null").select("node", "check", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("least", "d").alias("class_id"))
-    joined = sets.select("doc_id", "d", "node", "check", F.col("size").alias("n_grams")).join(known, ["node", "check"], "left")
+    joined = sets.select("doc_id", "rk", "d", "node", "check", F.col("size").alias("n_grams")).join(known, ["node", "check"], "left")
     class_id = F.coalesce("class_id", "d")
-    return joined.select("doc_id", F.when(class_id > -(1 << 63), class_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_grams")
+    return joined.select("doc_id", "rk", F.when(class_id > -(1 << 63), class_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_grams")
 
 
 def drop_similar(df: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``df`` with the smallest doc_id of each class; columns as they are.  Documents without words all stay."""
-    lost = similarity_classes(df, n, threshold).where(~F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("n_grams") > 0)).select(F.col("doc_id").alias("_lost")).distinct()
-    return df.join(lost, df["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
+    """``df`` with each class's rows of its smallest doc_id (null is smallest); columns as they are.  Rows without words all stay.
+
+    Rows to drop are found by doc_id and text, so a repeated doc_id can stay in one class and go from another.
+    """
+    return without(df, _classes(df, n, threshold).where(~F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("n_grams") > 0)))

@@ -269,6 +269,16 @@ def keyed(df: DataFrame) -> DataFrame:
     return documents(df).select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
 
 
+def without(df: DataFrame, lost: DataFrame) -> DataFrame:
+    """``df`` without the rows whose doc_id and text are those of a row of ``lost`` (doc_id and rk of ``keyed``); columns as they are.
+
+    Other rows with the same doc_id stay, and so do other rows whose doc_id is null.
+    """
+    lost = lost.select(F.col("doc_id").alias("_lost"), F.col("rk").alias("_lost_rk")).distinct()
+    own = df.withColumn("_rk", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return own.join(lost, own["doc_id"].eqNullSafe(lost["_lost"]) & (own["_rk"] == lost["_lost_rk"]), "left_anti").drop("_rk")
+
+
 def ordered_id() -> Column:
     """doc_id, null: the smallest long."""
     return F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")

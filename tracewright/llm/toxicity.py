@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import batch_of, documents, tidied
+from .substring import keyed, without
 
 LONGEST, SPAN, DECAY, ALPHABET = 24, 7, 0.7, 64
 _LONE = re.compile(r"(?<!\S)(?:\w\s){2,}\w(?!\S)")
@@ -231,18 +232,23 @@ def fit(df: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: in
     return train((u.as_py().split("\n"), y.as_py()) for u, y in zip(found["units"], found["toxic"], strict=True))
 
 
-_ROWS = "doc_id long, value double, score double, predicted int"
+_ROWS = "doc_id long, rk long, value double, score double, predicted int"
 
 
 def score(df: DataFrame, machine: Machine, cached: int = 200_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text; an empty or null text has the value of a clean unit."""
+    return _scored(df, machine, cached).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def _scored(df: DataFrame, machine: Machine, cached: int = 200_000) -> DataFrame:
+    """doc_id, rk, value, score, predicted of every row."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
             texts = batch.column("text")
             bags: list[set[str]] = []
-            ids = batch.column("doc_id").to_pylist()
+            ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("rk").to_pylist(), strict=True))
             done = 0
 
             def finish(bags: list[set[str]], ids: list) -> pa.RecordBatch:
@@ -253,7 +259,7 @@ def score(df: DataFrame, machine: Machine, cached: int = 200_000) -> DataFrame:
                 known.update(zip(new, machine.decide(new).tolist(), strict=True))
                 value = [max(map(known.__getitem__, b), default=-2.0) for b in bags]
                 p = [machine.probability(v) for v in value]
-                return batch_of([(i, v, x, int(x >= 0.5)) for i, v, x in zip(ids, value, p, strict=True)], _ROWS)
+                return batch_of([(*i, v, x, int(x >= 0.5)) for i, v, x in zip(ids, value, p, strict=True)], _ROWS)
 
             size = 0
             for n, text in enumerate(texts):
@@ -266,7 +272,7 @@ def score(df: DataFrame, machine: Machine, cached: int = 200_000) -> DataFrame:
             if bags:
                 yield finish(bags, ids[done:])
 
-    return documents(df).mapInArrow(tidied(go), _ROWS).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return keyed(df).mapInArrow(tidied(go), _ROWS)
 
 
 def toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -274,6 +280,5 @@ def toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """``df`` without the rows whose doc_id has a text predicted toxic; columns as they are."""
-    lost = toxicity(df, labels).where("predicted = 1").select(F.col("doc_id").alias("_lost")).distinct()
-    return df.join(lost, df["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
+    """``df`` without the rows whose own text is predicted toxic; columns as they are."""
+    return without(df, _scored(df, fit(df, labels)).where("predicted = 1"))

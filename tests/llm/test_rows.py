@@ -140,6 +140,18 @@ def test_drops_judge_each_row(spark):
     assert sorted(map(str, map(tuple, left.collect()))) == sorted(str(r) for r in train + rows if "dimwit" not in (r[1] or ""))
 
 
+def test_sample_caps_leave_the_threshold(spark):
+    """Half of the toxic documents look clean; with the clean ones cut to a seventh, scores still have the natural share of toxic ones."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 20)) + " dimwit" * (i % 18 == 0)) for i in range(3600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    for caps in ((1500, 3000), (200, 400)):
+        scores = [r.score for r in toxicity.score(df, toxicity.fit(df, labels, *caps)).collect()]
+        assert abs(np.mean(scores) - 1 / 9) < 0.03, caps
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(11)
     vocabulary = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 9))) for _ in range(400)]

@@ -126,8 +126,12 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np
     return w[:-1], float(w[-1])
 
 
-def train(bags: Iterable[tuple[Iterable[str], int]], landmarks: int = 160, rounds: int = 3, c: float = 300.0) -> Machine:
-    """A machine from (units, label) of documents.  Units are numbered once; documents are arrays of numbers."""
+def train(bags: Iterable[tuple[Iterable[str], int]], landmarks: int = 160, rounds: int = 3, c: float = 300.0, labelled: dict[int, int] | None = None) -> Machine:
+    """A machine from (units, label) of documents.  Units are numbered once; documents are arrays of numbers.
+
+    ``labelled`` has the number of labelled documents by class that the sample was drawn from: calibration gives each class that share,
+    so the threshold does not follow the mix of the sample.
+    """
     number: dict[str, int] = {}
     held = [(np.array(sorted({number.setdefault(u, len(number)) for u in b if u}), np.int32), y) for b, y in bags]
     names = list(number)
@@ -187,20 +191,26 @@ def train(bags: Iterable[tuple[Iterable[str], int]], landmarks: int = 160, round
         worst = sorted((int(b[np.argmax(value[b])]) for b in clean), key=lambda u: -value[u])
         against |= set(worst[: len(worst) // 2])
     top = np.array([value[b].max() if len(b) else -2.0 for b, _ in held], np.float64)
-    machine.scale, machine.shift = _calibrate(top, np.array([float(t) for _, t in held]))
+    y = np.array([float(t) for _, t in held])
+    weight = np.ones(len(y))
+    if labelled:
+        for kind in (0, 1):
+            weight[y == kind] = labelled[kind] / max(1, (y == kind).sum())
+        weight *= len(y) / weight.sum()
+    machine.scale, machine.shift = _calibrate(top, y, weight)
     return machine
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's sigmoid with his smoothed targets, by damped Newton steps."""
-    n1, n0 = y.sum(), len(y) - y.sum()
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Platt's sigmoid with his smoothed targets over weighted values, by damped Newton steps."""
+    n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     z = np.stack([np.clip(x, -5, 5), np.ones(len(x))], 1)
     w = np.array([1.0, 0.0])
-    loss = lambda w: float(np.sum(np.logaddexp(0, z @ w) - target * (z @ w)))
+    loss = lambda w: float(np.sum(weight * (np.logaddexp(0, z @ w) - target * (z @ w))))
     for _ in range(60):
         p = 1 / (1 + np.exp(-(z @ w)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (p - target))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (weight * (p - target)))
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > loss(w):
             size /= 2
@@ -215,12 +225,14 @@ def held_out():
 def fit(df: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3000) -> Machine:
     """Train on labelled documents outside the held-out fifth: at most ``most_toxic`` and ``most_clean`` of them, by hash of doc_id.
 
-    These bounds are the sample's: their ids are broadcast and only their texts reach the driver.
+    These bounds are the sample's: their ids are broadcast and only their texts reach the driver.  The sigmoid is fitted to the classes'
+    shares of all labelled documents, whatever the sample holds of each.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     drawn = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).collect() + known.where("toxic = 0").orderBy(order, "doc_id").limit(most_clean).collect()
+    labelled = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = df.sparkSession.createDataFrame(drawn, known.schema)
     rows = documents(df).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
@@ -229,7 +241,7 @@ def fit(df: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: in
             yield batch_of([(d, "\n".join(sorted(units(t))), y) for d, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)], "doc_id long, units string, toxic int")
 
     found = rows.mapInArrow(tidied(go), "doc_id long, units string, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("units", "ascending")])
-    return train((u.as_py().split("\n"), y.as_py()) for u, y in zip(found["units"], found["toxic"], strict=True))
+    return train(((u.as_py().split("\n"), y.as_py()) for u, y in zip(found["units"], found["toxic"], strict=True)), labelled=labelled)
 
 
 _ROWS = "doc_id long, rk long, value double, score double, predicted int"

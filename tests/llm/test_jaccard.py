@@ -90,6 +90,26 @@ def test_recall_of_runs():
     assert met >= 290
 
 
+def test_recall_at_full_depth():
+    """Pairs at similarity 0.8 are proposed as often as planned where every step splits their buckets; sketches too."""
+    rng = np.random.default_rng(6)
+    n, depth = 1500, jaccard.FIRST_STEPS + 5
+    runs = jaccard.runs_for(0.8, 0.9)
+    a = rng.integers(0, 1 << 63, (n, jaccard.COORDINATES), dtype=np.uint64)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 63, a.shape, dtype=np.uint64))
+    met = 0
+    for pair in np.stack([a, b], 1):
+        row, path = np.tile(np.arange(2), runs), np.repeat(np.arange(runs, dtype=np.uint64), 2)
+        for _ in range(depth):
+            row, path = jaccard._step(pair, row, path)
+        met += bool(set(path[row == 0].tolist()) & set(path[row == 1].tolist()))
+    assert met >= 0.9 * n
+    assert abs(1 - met / n - jaccard.missed(0.8, runs, depth, 128)) < 0.02
+    apart = np.bitwise_count((a ^ b) & np.uint64(3)).sum(axis=1)
+    assert abs(apart.mean() + 5 * apart.std() - jaccard.most_bits(0.8)) < 1.5 and jaccard.most_bits(0.8) == 33
+    assert jaccard.missed(0.8, jaccard.runs_for(0.8, 0.9999), depth, jaccard.most_bits(0.8)) <= 1e-4
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (200, 200)] + [(300, i) for i in range(301, 360)]
     got = {r.id: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}

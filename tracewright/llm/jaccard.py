@@ -198,9 +198,7 @@ def _compare(sorted_rows: DataFrame, most: int) -> DataFrame:
 def proposals(nodes: DataFrame, threshold: float, runs: int, small: int = 4096, steps: int = 6) -> DataFrame:
     """Edges (a, b) between nodes that share a bucket and have close sketches; ``nodes`` has node and signature."""
     spark = nodes.sparkSession
-    # two bits of each of 64 tokens: mean and spread of the differing bits at the threshold
-    mean, deviation = COORDINATES * (1 - threshold), math.sqrt(COORDINATES * (1.5 - 0.5 * threshold - (1 - threshold)) * (1 - threshold))
-    most = int(mean + 5 * deviation)
+    most = most_bits(threshold)
     rows, out = _walk(nodes.select("node", "signature"), runs), None
     for depth in range(steps):
         counts = materialise(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -293,16 +291,41 @@ def _exact_links(members: DataFrame, n: int, threshold: float, block: int) -> Da
     return met.mapInArrow(tidied(go), _LINKS)
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold shares a bucket with probability ``recall``.
+def most_bits(threshold: float) -> int:
+    """Differing bits of sketches at the threshold, five deviations above the mean: two bits of each of 64 tokens, of which a token
+    that differs has 0, 1 or 2."""
+    apart = 1 - threshold
+    return int(COORDINATES * apart + 5 * math.sqrt(COORDINATES * apart * (1.5 - apart)))
 
-    A pair shares a path on with a Poisson number of children, mean CHILDREN * threshold; the chance to be parted by each step of a
-    run follows from its generating function.
+
+def missed(threshold: float, runs: int, depth: int, most: int) -> float:
+    """Probability that a pair at the threshold shares no path of ``depth`` steps in any run, or has more than ``most`` bits apart.
+
+    The number of equal tokens is binomial and the same for all runs; given it, the children that a shared path has are binomial too,
+    and the chance to be parted by the last step of a run follows from their generating function.
     """
-    parted = 0.0
-    for _ in range(FIRST_STEPS):
-        parted = math.exp(-CHILDREN * threshold * (1 - parted))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(parted)))
+    total = 0.0
+    for equal in range(COORDINATES + 1):
+        share = math.comb(COORDINATES, equal) * threshold**equal * (1 - threshold) ** (COORDINATES - equal)
+        parted = 0.0
+        for _ in range(depth):
+            parted = (1 - CHILDREN / COORDINATES * (1 - parted)) ** equal
+        bits = 2 * (COORDINATES - equal)
+        near = sum(math.comb(bits, b) for b in range(min(bits, most) + 1)) / 2**bits
+        total += share * (1 - (1 - parted**runs) * near)
+    return total
+
+
+def runs_for(threshold: float, recall: float, steps: int = 6) -> int:
+    """Runs after which a pair at the threshold is proposed with probability ``recall``, even if all its buckets are split by each of
+    the ``steps`` of ``proposals``."""
+    depth, most = FIRST_STEPS + steps - 1, most_bits(threshold)
+    runs = 1
+    while missed(threshold, runs, depth, most) > 1 - recall:
+        runs += 1
+        if runs > 1000:
+            raise ValueError("sketches alone lose more pairs than that recall allows")
+    return runs
 
 
 def similarity_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 4096, block: int = 1024) -> DataFrame:

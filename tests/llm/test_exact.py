@@ -49,3 +49,49 @@ def test_trie_with_spills(tmp_path_factory, texts):
         o, n = want.get(t, (i, 0))
         want[t] = (o, n + 1)
     assert {t: (o, n) for t, o, n in trie.items()} == want
+
+
+def test_single_texts_over_the_limit(tmp_path, monkeypatch):
+    """Texts longer than the limit are never spilled alone, and each file is read once."""
+    opened = []
+    real = exact.filesystem
+
+    class Watched:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def open_input_stream(self, path):
+            opened.append(path)
+            return self.fs.open_input_stream(path)
+
+    monkeypatch.setattr(exact, "filesystem", lambda uri: (Watched(real(uri)[0]), real(uri)[1]))
+    long = b"a" * 50_000
+    for texts in ([long], [long, long + b"b"], [long + b"b", long], [long + b"b", b"c" * 50_000], [b"", long, long[:40_000], b"b" + long, b"bb" + long]):
+        opened.clear()
+        trie = exact.SpillingTrie(1000, str(tmp_path / "t"))
+        for i, t in enumerate(texts * 2):
+            trie.insert(t, i, 1)
+        assert sorted(trie.items()) == sorted((t, i, 2) for i, t in enumerate(texts))
+        assert len(opened) == len(set(opened)) < len(texts) * 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", max_size=40).map(str.encode), max_size=30), st.integers(1, 2000))
+def test_spilling_keeps_all(texts, limit):
+    import tempfile
+    from collections import Counter
+
+    with tempfile.TemporaryDirectory() as folder:
+        trie = exact.SpillingTrie(limit, folder)
+        for i, t in enumerate(texts):
+            trie.insert(t, i, 1)
+        assert sorted(trie.items()) == sorted((t, texts.index(t), n) for t, n in Counter(texts).items())
+
+
+def test_group_of_long_texts(spark):
+    rows = [(3, "x" * 40_000), (1, "x" * 40_000), (2, "x" * 39_999 + "y")]
+    got = {r.text_sha256: (r.keep_id, r.group_size) for r in exact.owners(spark.createDataFrame(rows, "doc_id long, text string"), limit=1000).collect()}
+    assert got == {hashlib.sha256(t.encode()).hexdigest(): v for t, v in ((rows[0][1], (1, 2)), (rows[2][1], (2, 1)))}

@@ -115,3 +115,21 @@ def test_components(spark):
     got = {r.id: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90} | {i: 300 for i in range(300, 360)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_whose_hashes_meet(spark):
+    sets = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 10), (1, 9)], "node long, check long")
+    got = sorted((r.check, r.node) for r in jaccard.apart(sets).collect())
+    assert got[0] == (9, 1) and len({n for _, n in got}) == 4 and [n for c, n in got if c == 10 and n != 2][0] == [n for c, n in got if c == 10 and n != 2][1]
+
+
+def test_threshold_is_exact(spark):
+    """Sets of over 100,000 n-grams just below and at the threshold."""
+    k = 30_000
+    common = [f"c{i}" for i in range(4 * k + 4)]
+    tail = lambda name, m: [f"{name}{i}" for i in range(m)]
+    # 4k common five-grams; a and b have k more in all, c and d one more than that
+    rows = [(n, " ".join(common + tail(name, m)), 1, n) for n, name, m in ((1, "a", k // 2), (2, "b", k // 2), (3, "z", k // 2 + 1))]
+    members = spark.createDataFrame([(7, 3, n, t) for n, t, *_ in rows], "comp long, size long, node long, text string")
+    got = {r.node: r.links for r in jaccard._exact_links(members, 5, 0.8, 1024).collect()}
+    assert got == {1: 1, 2: 1}

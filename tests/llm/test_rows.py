@@ -124,6 +124,18 @@ def test_leaks_at_any_start():
         assert [d for _, d, _ in decontaminate.Matcher([(1, item)], 16).find(text)] == ([want] if want <= budget else [])
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text("ab ", min_size=1, max_size=70), min_size=1, max_size=3), st.data())
+def test_matcher_equals_whole_text(items, data):
+    """Repetitive items in texts of their own edited parts: no match is lost, all distances are least."""
+    items = [(i, decontaminate.canonical(t)) for i, t in enumerate(items) if t.strip()]
+    parts = data.draw(st.lists(st.sampled_from([t for _, t in items] or ["x"]).flatmap(lambda t: st.tuples(st.just(t), st.integers(0, len(t)), st.integers(0, len(t)), st.text("ab ", max_size=3))), max_size=5))
+    text = "".join(t[: min(i, j)] + put + t[max(i, j) :] for t, i, j, put in parts)
+    got = {i: d for i, d, _ in decontaminate.Matcher(items, 8).find(text)}
+    want = {i: d for i, t in items if text and (d := distance(t, text)) <= len(t) // 8}
+    assert got == want
+
+
 def test_drops_judge_each_row(spark):
     item = "Gamma delta epsilon alpha beta"
     rows = [(1, "clean"), (2, f"so {item} it is"), (2, "clean too"), (None, item), (None, "a clean null"), (None, None), (3, None)]

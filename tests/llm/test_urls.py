@@ -20,3 +20,11 @@ def test_judge(spark):
     got = [tuple(r) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string"), rules).collect()]
     assert sorted(map(str, got)) == sorted(str((i, *brute(u))) for i, u, _ in rows)
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    """The ranges' sample follows its own size, not the table's; long urls are cut in it."""
+    rows = spark.range(40_000).selectExpr("id as page_id", "concat('http://h', id % 7, '.example.com/en/', repeat('p', 600), id) as url")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = urls.judge(rows, rules, sample=300, longest=50)
+    assert got.count() == 40_000 and got.select("rule", "verdict").distinct().collect() == [("example.com/en/", "block")]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,21 +19,43 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Bytes of text that a vectorised kernel handles at once; its arrays take about 60 times as much.
 BLOCK_BYTES = 1 << 20
 
+#: Bytes of the Arrow batches that tasks see; Spark's own bound (64 MB) is on what it sends at once.
+BATCH_BYTES = 4 << 20
+
 _own_dir: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests on one machine)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, one of our own serves if all runs on this machine (tests); a cluster without a shared folder is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        at = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="tracewright-"))
+        if app not in _own_dir:
+            _own_dir[app] = tempfile.mkdtemp(prefix="tracewright-")
+            atexit.register(shutil.rmtree, _own_dir[app], ignore_errors=True)
+        at = _own_dir[app]
     return at.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder.  ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all paths that ``scratch`` gave this application.  Results that were not written elsewhere are lost with them."""
+    jvm = spark.sparkContext._jvm
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -54,17 +78,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(df: DataFrame, column: str = "text") -> DataFrame:
-    """``df`` as it is; Arrow batches of long texts are bounded by bytes through the session's setting, which this raises from unlimited only."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 512:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return df
-
-
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and ``more``; all other columns are left out, so clashing names do not matter."""
-    return small_batches(df.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more))
+    return df.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def texts_of(column: pa.Array) -> Iterator[bytes]:
@@ -72,12 +88,21 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
     return (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column)
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BATCH_BYTES; one row longer than that has a batch of its own."""
+    for batch in batches:
+        step = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, BATCH_BYTES))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def tidied(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task function that returns its memory to the system when it ends: Python workers live on and serve the next stage."""
+    """A task function over small batches that returns its memory to the system when it ends: Python workers live on and serve the
+    next stage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from task(batches)
+            yield from task(small(batches))
         finally:
             tidy()
 

@@ -54,10 +54,10 @@ class Node:
 
 
 class Patricia:
-    """A compressed radix trie from byte strings to (smallest identifier, rows).  ``size`` is about its bytes."""
+    """A compressed radix trie from byte strings to (smallest identifier, rows).  ``size`` is about its bytes, ``strings`` how many it has."""
 
     def __init__(self):
-        self.root, self.size = Node(b""), 0
+        self.root, self.size, self.strings = Node(b""), 0, 0
 
     def insert(self, text: bytes, owner: int, rows: int = 1) -> None:
         node, at = self.root, 0
@@ -79,6 +79,7 @@ class Patricia:
             node.children[text[at]] = upper
             self.size += 200
             node, at = upper, at + n
+        self.strings += not node.rows
         node.owner = owner if not node.rows else min(node.owner, owner)
         node.rows += rows
 
@@ -96,22 +97,25 @@ class Patricia:
         node, prefix = self.root, b""
         while True:
             sizes = {b: self.weight(c) for b, c in node.children.items()}
-            b = max(sizes, key=sizes.get)
+            b = max(sizes, key=lambda b: sizes[b][0])
             child = node.children[b]
-            if sizes[b] < 0.9 * sum(sizes.values()) or not child.children:
+            if sizes[b][0] < 0.9 * sum(w for w, _ in sizes.values()) or not child.children:
                 del node.children[b]
-                self.size -= sizes[b]
+                self.size -= sizes[b][0]
+                self.strings -= sizes[b][1]
                 return prefix + child.label[:1], _under(child)
             node, prefix = child, prefix + child.label
 
     @staticmethod
-    def weight(node: Node) -> int:
-        total, stack = 0, [node]
+    def weight(node: Node) -> tuple[int, int]:
+        """Bytes and strings of a subtree."""
+        total, strings, stack = 0, 0, [node]
         while stack:
             node = stack.pop()
             total += len(node.label) + 200
+            strings += node.rows > 0
             stack += node.children.values()
-        return total
+        return total, strings
 
 
 def _under(child: Node) -> Node:
@@ -124,7 +128,8 @@ class SpillingTrie:
     """A trie that moves its heaviest subtrees to files of the shared folder when it grows beyond ``limit`` bytes.
 
     Later strings with a spilled prefix go to that prefix's file at once; in the end each file is read into a trie of its own, which
-    may spill deeper subtrees in turn.  One string longer than the limit is held while it is inserted.
+    may spill deeper subtrees in turn.  A single string is never spilled, however long: a subtree leaves only a trie that keeps another
+    string, so files get fewer strings at each depth.
     """
 
     def __init__(self, limit: int, folder: str):
@@ -137,7 +142,7 @@ class SpillingTrie:
                 self._append(out, text, owner, rows)
                 return
         self.trie.insert(text, owner, rows)
-        while self.trie.size > self.limit and self.trie.root.children:
+        while self.trie.size > self.limit and self.trie.strings > 1:
             prefix, node = self.trie.heaviest()
             fs, folder = filesystem(self.folder)
             fs.create_dir(folder, recursive=True)

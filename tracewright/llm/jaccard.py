@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -231,8 +232,10 @@ def _exact_links(members: DataFrame, n: int, threshold: float, block: int) -> Da
     """Links of each node and stars of exact links; ``members`` (comp, size, node, text) of groups that proposals connect.
 
     A group of more than ``block`` nodes is cut into blocks and each pair of blocks is one unit of work, so no task holds more than
-    two blocks of texts; counts and stars of the pairs are added up later.
+    two blocks of texts; counts and stars of the pairs are added up later.  Similarities are compared as integers: with p/q as the
+    threshold, c common of a + b in all are enough if c (p + q) >= p (a + b).
     """
+    part = Fraction(str(threshold))
     k = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = members.withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     met = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -249,7 +252,7 @@ def _exact_links(members: DataFrame, n: int, threshold: float, block: int) -> Da
         often = df[token] > 1
         token, owner = token[often], owner[often]
         kept, token = np.unique(token, return_inverse=True)
-        common = np.zeros((m, m), np.float32)
+        common = np.zeros((m, m), np.int64)
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
         width = max(64, min(4096, 8_000_000 // m))
@@ -257,9 +260,9 @@ def _exact_links(members: DataFrame, n: int, threshold: float, block: int) -> Da
             some = slice(*np.searchsorted(token, (a, a + width)))
             x = np.zeros((m, width), np.float32)
             x[owner[some], token[some] - a] = 1
-            common += x @ x.T
+            common += (x @ x.T).astype(np.int64)
         both = size[:, None] + size[None, :]
-        linked = common * (1 + threshold) >= threshold * both - 1e-6 * both
+        linked = common * (part.numerator + part.denominator) >= part.numerator * both
         side = np.array([r[3] for r in rows])
         if rows[0][1] != rows[0][2]:
             linked &= side[:, None] != side[None, :]
@@ -328,6 +331,16 @@ def runs_for(threshold: float, recall: float, steps: int = 6) -> int:
     return runs
 
 
+def apart(sets: DataFrame) -> DataFrame:
+    """``sets`` with a node of its own for each (node, check): different sets whose first hashes meet get new ones from both hashes."""
+    met = sets.select("node", "check").distinct().groupBy("node").agg(F.min("check").alias("stays"), F.count("*").alias("n")).where("n > 1").select("node", "stays")
+    met = materialise(met, "met")
+    if met.isEmpty():
+        return sets
+    new = F.when(F.col("check") != F.col("stays"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return sets.join(met, "node", "left").withColumn("node", new).drop("stays")
+
+
 def similarity_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 4096, block: int = 1024) -> DataFrame:
     """doc_id, class_id, n_links, copies, n_grams of every row.
 
@@ -342,15 +355,15 @@ def similarity_classes(df: DataFrame, n: int = 5, threshold: float = 0.8, recall
 def _classes(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 4096, block: int = 1024) -> DataFrame:
     """``similarity_classes`` with the row key rk."""
     docs = keyed(df)
-    sets = materialise(_sets(docs, n), "sets")
-    nodes = sets.groupBy("node", "check").agg(F.min("d").alias("d"), F.count("*").alias("copies"), F.min("rk").alias("rk"), F.max("size").alias("size"))
+    sets = apart(materialise(_sets(docs, n), "sets"))
+    nodes = sets.groupBy("node", "check").agg(F.min("d").alias("d"), F.count("*").alias("copies"), F.min(F.struct("rk", "d")).alias("row"), F.max("size").alias("size"))
     # one node of each set, with the signature of any of its rows: equal sets have equal signatures
     one = sets.where("size > 0").select("node", "signature").dropDuplicates(["node"])
     edges = materialise(proposals(one, threshold, runs_for(threshold, recall), small).distinct(), "proposals")
     groups = components(edges)
     groups = materialise(groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root").select(F.col("id").alias("node"), F.col("root").alias("comp"), F.col("n").alias("size")), "groups")
-    chosen = groups.join(nodes.select("node", "rk"), "node")
-    members = docs.select("rk", "text").join(chosen, "rk").dropDuplicates(["node"]).select("comp", "size", "node", "text")
+    chosen = groups.join(nodes.select("node", F.col("row.rk").alias("rk"), F.col("row.d").alias("own")), "node")
+    members = docs.select(ordered_id(), "rk", "text").join(chosen, "rk").where("d = own").dropDuplicates(["node"]).select("comp", "size", "node", "text")
     links = materialise(_exact_links(members, n, threshold, block), "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     if groups.where(F.col("size") > block).isEmpty():

@@ -31,21 +31,25 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW, sample: int = 5_000) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW, sample: int = 5_000, longest: int = 200) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url); ``rules`` has host, path, verdict.
 
     A rule fits its host and all subdomains if the page's path starts with the rule's path.  The longest text host + path wins; of
     equally long ones the longer host, then the smaller text.  A page without a fitting rule gets ``default`` and a null rule.  Null
     urls have empty host and path.  Repeated pages are all judged; rules with nulls are left out; repeated rules: the smaller verdict.
 
-    Ranges come from a sample of page keys (``sample`` of them, or 20 a range if that is more); they only balance the work.  A rule goes to each range that
-    its interval meets.  A key ends with the path and a hash of page_id, so one host or url of many pages is cut into many ranges.
+    Ranges come from a sample of about ``sample`` page keys, or four a range if that is more, of ``longest`` characters each; the rows
+    are chosen on the executors by hash, at a rate that the row count sets, so only the sample reaches the driver.  Ranges only balance
+    the work.  A rule goes to each range that its interval meets.  A key ends with the path and a hash of page_id, so one host or url of
+    many pages is cut into many ranges.  Extra columns are left out; an empty table has no rows.
     """
     url = F.col("url")
     p = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     p = p.withColumn("key", F.concat(reversed_host(F.col("host")), F.lit("\x00"), F.col("path"), F.lit("\x00"), F.hex(F.xxhash64("page_id"))))
     n = partitions(pages.sparkSession) * 4
-    drawn = sorted(r.key for r in p.select("key", F.xxhash64("key", "page_id").alias("o")).orderBy("o").limit(max(sample, 20 * n)).select("key").collect())
+    rate = min(1.0, max(sample, 4 * n) / max(1, pages.count()))
+    chosen = p.where(F.shiftrightunsigned(F.xxhash64("key", "page_id"), 32) < int(rate * (1 << 32)))
+    drawn = sorted(chosen.select(F.substring("key", 1, longest).alias("key")).toArrow()["key"].to_pylist())
     cuts = sorted({drawn[i * len(drawn) // n] for i in range(1, n)}) if drawn else []
 
     def bucket(*columns: str):

@@ -73,6 +73,8 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, distance, end) of each item that the text holds: the least distance, and the first end with it."""
+        if not self.items:
+            return []
         found: dict[int, tuple[int, int]] = {}
         tried: set[tuple[int, int]] = set()
         for end, (size, places) in self.automaton.iter(text):

@@ -101,3 +101,32 @@ def test_bin_completion_beats_best_fit():
     counts = np.bincount([4, 4, 3, 3, 3, 3], minlength=11)
     assert sum(t for _, t in packing.best_fit(counts)) == 3
     assert sum(t for _, t in packing.bin_completion(counts)) == 2
+
+
+def test_bin_completion_finds_planted_packings():
+    """Three pieces a bin that fill it exactly: best fit finds none of these, the search most."""
+    rng = np.random.default_rng(1)
+    met = best = 0
+    for bins in (5, 7, 9, 12, 16, 46, 54, 59):
+        a, b = np.sort(rng.choice(np.arange(1, 1024), (bins, 2)), axis=1).T
+        keep = a < b
+        sizes = np.concatenate([a[keep], (b - a)[keep], (1024 - b)[keep]])
+        counts = np.bincount(sizes, minlength=1025)
+        plan = packing.bin_completion(counts, nodes=1500, steps=200)
+        held = np.zeros(1025, int)
+        for filling, times in plan:
+            assert sum(s * k for s, k in filling) <= 1024
+            for s, k in filling:
+                held[s] += k * times
+        assert (held == counts).all()
+        met += packing.bins_of(plan) == keep.sum()
+        best += packing.bins_of(packing.best_fit(counts)) == keep.sum()
+        assert packing.bins_of(plan) <= packing.bins_of(packing.best_fit(counts))
+    assert met >= 5 > best
+
+
+def test_fillings_are_undominated():
+    stock = packing.Stock({7: 1, 4: 2, 3: 2, 2: 1, 6: 1}, 13)
+    found = stock.fillings(6, 3, 99, 10_000)
+    assert (0, ((7, 1), (6, 1))) in found and (0, ((6, 1), (4, 1), (3, 1))) not in found
+    assert all(sum(s * k for s, k in f) == 13 - w for w, f in found)

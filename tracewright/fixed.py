@@ -14,7 +14,8 @@ CANDIDATES_PER_EVIDENCE, MAX_CANDIDATES = 40, 4000
 MARKDOWN_LINES = 80
 
 # Versions of stored and emitted data ---------------------------------------------------------------------------
-APPLICATION_ID, SCHEMA_VERSION, OUTPUT_SCHEMA_VERSION, RANKER_VERSION = 0x41444F53, 1, 1, 1
+SCHEMA_VERSION, OUTPUT_SCHEMA_VERSION, RANKER_VERSION = 2, 1, 1
+APPLICATION_ID = 0x54524143  # our own mark of an index folder
 
 # Ranking -------------------------------------------------------------------------------------------------------
 FIELD_WEIGHTS = {"user": 20.0, "assistant": 3.0, "tool": 1.0, "metadata": 7.0}
@@ -67,6 +68,7 @@ TERMINAL_CONTROLS = (
     r"|\x1b(?s:.)?"
     r"|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{61c}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{206f}\x{feff}]"
 )
+ANY_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{61c}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{206f}\x{feff}]"
 SECRETS = [
     (r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[REDACTED:PRIVATE_KEY]"),
     (_BEGIN + r"(?:Bearer|bearer|BEARER)[ \t]+[A-Za-z0-9._~+/=-]{4,}", "Bearer [REDACTED:BEARER]"),

@@ -95,6 +95,8 @@ def _short(stem: str) -> bool:
 _STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize logi:log bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
 _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+_RULES = [sorted((r.split(":") for r in step.split()), key=lambda r: -len(r[0])) for step in (_STEP2, _STEP3)]
+_ENDINGS = sorted(_STEP4.split(), key=lambda s: -len(s))
 
 
 def porter(word: str) -> str:
@@ -124,13 +126,13 @@ def _porter(w: str) -> str:
             w = cut + "e" if _measure(cut) == 1 and _short(cut) else cut
     if w.endswith("y") and "v" in _consonants(w[:-1]):
         w = w[:-1] + "i"
-    for step in (_STEP2, _STEP3):
-        for rule in sorted((r.split(":") for r in step.split()), key=lambda r: -len(r[0])):
+    for rules in _RULES:
+        for rule in rules:
             if w.endswith(rule[0]):
                 if _measure(w[: -len(rule[0])]):
                     w = w[: -len(rule[0])] + rule[1]
                 break
-    for suffix in sorted(_STEP4.split(), key=lambda s: -len(s)):
+    for suffix in _ENDINGS:
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):

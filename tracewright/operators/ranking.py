@@ -12,24 +12,48 @@ def field_of(role: Column) -> Column:
     return F.when(role.isin("user", "assistant", "tool"), role).otherwise("metadata")
 
 
+def counted_tokens(tokens: Column) -> Column:
+    """How many words of an event count for its length: those that have a stem."""
+    return F.size(F.filter(tokens, lambda w: w.rlike(r"[^\p{Mn}]")))
+
+
+def words(events: DataFrame) -> DataFrame:
+    """event_id, field, dl, word: one row for each word of (event_id, role, text)."""
+    tokens = events.select("event_id", field_of(F.col("role")).alias("field"), document_tokens(F.col("text")).alias("tokens"))
+    return tokens.select("event_id", "field", counted_tokens(F.col("tokens")).alias("dl"), F.explode("tokens").alias("word"))
+
+
 def postings(events: DataFrame, stemmed: bool = True) -> DataFrame:
-    """term, event_id, field, tf of (event_id, role, text).  Stems are computed once for each distinct word and joined back."""
-    words = events.select("event_id", field_of(F.col("role")).alias("field"), F.explode(document_tokens(F.col("text"))).alias("word"))
-    counted = words.groupBy("event_id", "field", "word").agg(F.count("*").alias("tf"))
+    """term, event_id, field, tf, dl of (event_id, role, text).  Stems are computed once for each distinct word and joined back."""
+    counted = words(events).groupBy("event_id", "field", "dl", "word").agg(F.count("*").alias("tf"))
     if not stemmed:
-        return counted.select(F.col("word").alias("term"), "event_id", "field", F.col("tf").cast("int").alias("tf"))
+        return counted.select(F.col("word").alias("term"), "event_id", "field", F.col("tf").cast("int").alias("tf"), "dl")
     stems = counted.select("word").distinct().withColumn("term", stem("word"))
-    return counted.join(stems, "word").where("term <> ''").groupBy("term", "event_id", "field").agg(F.sum("tf").cast("int").alias("tf"))
+    return counted.join(stems, "word").where("term <> ''").groupBy("term", "event_id", "field", "dl").agg(F.sum("tf").cast("int").alias("tf")).select("term", "event_id", "field", "tf", "dl")
 
 
-def lengths(events: DataFrame, posted: DataFrame) -> DataFrame:
-    """event_id, dl of every event, those without words too."""
-    own = posted.groupBy("event_id").agg(F.sum("tf").alias("dl"))
-    return events.select("event_id").join(own, "event_id", "left").select("event_id", F.coalesce("dl", F.lit(0)).cast("int").alias("dl"))
+def corpus(events: DataFrame) -> DataFrame:
+    """n, total_tokens of (event_id, role, text), without a shuffle of words."""
+    dl = counted_tokens(document_tokens(F.col("text")))
+    return events.agg(F.count("*").alias("n"), F.coalesce(F.sum(dl), F.lit(0)).alias("total_tokens"))
 
 
-def corpus(lengths: DataFrame) -> DataFrame:
-    return lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"))
+def hits(terms: DataFrame, posted: DataFrame, weighted: bool = True) -> DataFrame:
+    """term, event_id, dl, f of the postings of asked terms: f adds up weights of fields times counts."""
+    w = weight_of(F.col("field")) if weighted else F.lit(1.0)
+    return posted.join(terms.select("term").distinct(), "term").groupBy("term", "event_id", "dl").agg(F.sum(w * F.col("tf")).alias("f"))
+
+
+def scan_hits(terms: DataFrame, events: DataFrame, weighted: bool = True, stemmed: bool = False) -> DataFrame:
+    """``hits`` from texts without an index: only asked words are counted and shuffled; with stems, those whose stem is asked."""
+    found = words(events)
+    asked = terms.select("term").distinct()
+    if stemmed:
+        asked = found.select("word").distinct().withColumn("term", stem("word")).join(asked, "term")
+    else:
+        asked = asked.withColumn("word", F.col("term"))
+    w = weight_of(F.col("field")) if weighted else F.lit(1.0)
+    return found.join(asked, "word").groupBy("term", "event_id", "dl").agg(F.sum(w).alias("f"))
 
 
 def weight_of(field: Column) -> Column:
@@ -39,21 +63,18 @@ def weight_of(field: Column) -> Column:
     return out
 
 
-def bm25(terms: DataFrame, posted: DataFrame, lengths: DataFrame, corpus: DataFrame, weighted: bool = True) -> DataFrame:
+def bm25(terms: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, event_id, score of (query_id, pos, term), best with all terms that an event has, added in the order of pos.
 
-    Only postings of asked terms are read on; document frequencies are counted on those.  The one-row corpus is broadcast.
+    ``found`` are the ``hits`` of these terms; document frequencies are counted on them.  The one-row corpus is broadcast.
     """
-    asked = terms.select("term").distinct()
-    some = posted.join(asked, "term").withColumn("w", weight_of(F.col("field")) if weighted else F.lit(1.0))
-    hits = some.groupBy("term", "event_id").agg(F.sum(F.col("w") * F.col("tf")).alias("f"))
     n = F.col("n").cast("double")
     idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, X.BM25_LEAST_IDF).otherwise(idf)
-    rare = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus)).withColumn("idf", idf).select("term", "idf", (F.col("total_tokens") / n).alias("avgdl"))
     k1, b, f = X.BM25_K1, X.BM25_B, F.col("f")
     part = F.col("idf") * (f * (k1 + 1.0)) / (f + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(rare, "term").join(lengths, "event_id").withColumn("part", part).select("term", "event_id", "part")
+    rare = found.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus)).select("term", idf.alias("idf"), (F.col("total_tokens") / n).alias("avgdl"))
+    scored = found.join(rare, "term").select("term", "event_id", part.alias("part"))
     each = terms.join(scored, "term").groupBy("query_id", "event_id").agg(F.sort_array(F.collect_list(F.struct("pos", "part"))).alias("parts"))
     return each.select("query_id", "event_id", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["part"]).alias("score"))
 

@@ -153,11 +153,11 @@ def _asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 0, "the"), (0, 1, "and"), (0, 2, "ther")], "query_id int, pos int, term string")
 
 
-def _scored(spark: SparkSession, sf_dir: str, weighted: bool, terms: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, weighted: bool, terms: DataFrame | None = None, events: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
     events = conversation_events(spark, sf_dir) if events is None else events
-    posted = K.postings(events, stemmed=False)
-    lengths = K.lengths(events, posted)
-    scored = K.bm25(_asked(spark) if terms is None else terms, posted, lengths, K.corpus(lengths), weighted)
+    terms = _asked(spark) if terms is None else terms
+    terms = terms.withColumn("term", T.stem("term")) if stemmed else terms
+    scored = K.bm25(terms, K.scan_hits(terms, events, weighted, stemmed), K.corpus(events))
     return scored.withColumn("score", K.quantised(F.col("score")))
 
 
@@ -176,12 +176,7 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = conversation_events(spark, sf_dir)
-    posted = K.postings(events)
-    lengths = K.lengths(events, posted)
-    terms = _asked(spark).withColumn("term", T.stem("term"))
-    scored = K.bm25(terms, posted, lengths, K.corpus(lengths)).withColumn("score", K.quantised(F.col("score")))
-    return scored.orderBy(F.desc("score"), "event_id").limit(100).select("event_id", "score")
+    return _scored(spark, sf_dir, True, stemmed=True).orderBy(F.desc("score"), "event_id").limit(100).select("event_id", "score")
 
 
 def structured_boost(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ def counted_tokens(tokens: Column) -> Column:
 def words(events: DataFrame) -> DataFrame:
     """event_id, field, dl, word: one row for each word of (event_id, role, text)."""
     tokens = events.select("event_id", field_of(F.col("role")).alias("field"), document_tokens(F.col("text")).alias("tokens"))
-    return tokens.select("event_id", "field", counted_tokens(F.col("tokens")).alias("dl"), F.explode("tokens").alias("word"))
+    counted = tokens.withColumn("dl", counted_tokens(F.col("tokens")))  # below the generator: once an event, not once a word
+    return counted.select("event_id", "field", "dl", F.explode("tokens").alias("word"))
 
 
 def postings(events: DataFrame, stemmed: bool = True) -> DataFrame:

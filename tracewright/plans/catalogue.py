@@ -5,7 +5,11 @@ Conversations serve as sessions and events, documents as texts, pages as working
 
 from __future__ import annotations
 
+import atexit
+import json
+import os
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -13,7 +17,8 @@ from .. import fixed as X
 from ..functions import questions as Q, redact as R, text as T
 from ..operators import lineage as L, packet as P, ranking as K
 from ..operators.normalize import parse
-from .index import diff
+from ..sources import rollouts
+from .index import diff, EvidenceIndex, models_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,27 +42,74 @@ def parse_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(out.warnings.select("path", "line", "kind", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("seq")))
 
 
+def _lines(rows: DataFrame, record, path: str, *order: str) -> DataFrame:
+    """Rows of a table as log lines: files by ``path``, lines in ``order``, ``record`` as their text."""
+    number = F.row_number().over(W.partitionBy(path).orderBy(*order)).cast("long")
+    return rows.select(F.col(path).cast("string").alias("path"), number.alias("line"), F.lit(0).cast("long").alias("byte_offset"), F.encode(record, "UTF-8").alias("raw"), F.lit(False).alias("oversized"))
+
+
+def _record(kind: str, payload) -> object:
+    return F.to_json(F.struct(F.lit(kind).alias("type"), payload.alias("payload")))
+
+
 def event_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    role = F.when(F.col("role").isin(X.WIRE_ROLES), F.col("role")).otherwise("unknown")
-    return c.select(F.col("conv_id").cast("string").alias("session_id"), F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long").alias("seq"), role.alias("role"), K.field_of(role).alias("field"))
+    said = _record("response_item", F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(F.lit("x").alias("text"))).alias("content")))
+    return parse(_lines(c, said, "conv_id", "turn")).events.select(F.col("path").alias("session_id"), "seq", "role", K.field_of(F.col("role")).alias("field"))
 
 
 def turn_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups are turns; all other events are messages within them."""
     e = table(spark, sf_dir, "events")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return e.select("event_id", "user_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("turn_id"))
+    own = F.col("event_id").cast("string")
+    context, message = _record("turn_context", F.struct(own.alias("turn_id"))), _record("event_msg", F.struct(F.lit("agent_message").alias("type"), own.alias("message")))
+    events = parse(_lines(e, F.when(F.col("event_type") == "signup", context).otherwise(message), "user_id", "ts", "event_id")).events
+    event_id = F.when(F.col("kind") == "turn_context", F.col("turn_id")).otherwise(F.col("text"))
+    return events.select(event_id.cast("long").alias("event_id"), F.col("path").cast("long").alias("user_id"), F.col("turn_id").cast("long").alias("turn_id"))
 
 
 def first_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'signup'")
-    return e.groupBy("user_id").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
+    e = table(spark, sf_dir, "events")
+    own = F.col("event_id").cast("string")
+    record = F.when(F.col("event_type") == "signup", _record("session_meta", F.struct(own.alias("id")))).otherwise(_record("event_msg", F.struct(F.lit("agent_message").alias("type"), own.alias("message"))))
+    return parse(_lines(e, record, "user_id", "ts", "event_id")).sessions.select(F.col("path").cast("long").alias("user_id"), F.col("id").cast("long").alias("event_id"))
 
 
 def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.try_parse_json("props")
-    k = F.try_variant_get(v, "$.k", "long")
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.schema_of_variant(F.try_variant_get(v, "$.k", "variant")).startswith("BIGINT") & (k >= 0), k).alias("k"))
+    """A number field as a number, as text, as a negative number, with a fraction and in a list: only the first is one."""
+    e = table(spark, sf_dir, "events")
+    k = F.regexp_extract("props", r":\s*([0-9]+)", 1)
+    said = F.element_at(F.array(k, F.concat(F.lit('"'), k, F.lit('"')), F.concat(F.lit("-1"), k), F.concat(k, F.lit(".5")), F.concat(F.lit("["), k, F.lit("]"))), (F.col("event_id") % 5 + 1).cast("int"))
+    line = F.concat(F.lit('{"type":"event_msg","payload":{"type":"task_complete","turn_id":"'), F.col("event_id").cast("string"), F.lit('","duration_ms":'), said, F.lit("}}"))
+    return parse(_lines(e, line, "user_id", "event_id")).events.select(F.col("turn_id").cast("long").alias("event_id"), F.col("duration_ms").alias("k"))
+
+
+def parse_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of record in turn, with blank, oversized, typeless and foreign lines between; events and warnings."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id").cast("string")
+    raw = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    stamped = lambda kind, *payload: raw('{"timestamp":"t', n, f'","type":"{kind}","payload":{{', *payload, "}}")
+    kinds = [
+        stamped("turn_context", '"turn_id":"turn', n, '","model":"m', n, '","cwd":"/w/', n, '"'),
+        stamped("event_msg", '"type":"user_message","message":"ask ', n, '","images":["/i', n, '.png",7],"audio":[]'),
+        stamped("event_msg", '"type":"agent_message","phase":"final_answer","message":"done ', n, '"'),
+        stamped("event_msg", '"type":"agent_message","phase":"commentary","message":"on it ', n, '"'),
+        stamped("event_msg", '"type":"task_complete","last_agent_message":"over ', n, '","duration_ms":', n),
+        stamped("response_item", '"type":"function_call","name":"run","arguments":"x', n, '","call_id":"c', n, '"'),
+        stamped("response_item", '"type":"custom_tool_call","input":{"z":', n, ',"a":[1]},"id":"d","status":"ok"'),
+        F.lit(" "),
+        F.lit("long"),
+        F.lit('{"payload":{}}'),
+        stamped("other", '"type":"user_message","message":"no"'),
+        stamped("event_msg", '"type":"turn_complete","status":"failed"'),
+        stamped("response_item", '"type":"message","role":"robot","content":[{"input_text":"in ', n, '"},{"text":5},{"output_text":"out"}]'),
+    ]
+    lines = _lines(e, F.element_at(F.array(*kinds), (F.col("event_id") % len(kinds) + 1).cast("int")), "user_id", "event_id").withColumn("oversized", F.col("raw") == F.encode(F.lit("long"), "UTF-8"))
+    out = parse(lines.withColumn("raw", F.when(~F.col("oversized"), F.col("raw"))))
+    columns = ["path", "line_no", "kind", "seq", "timestamp", "turn_id", "role", "text", "phase", "model", "status", "duration_ms", "tool_name", "call_id"]
+    warnings = out.warnings.select("path", F.col("line").alias("line_no"), "kind")
+    return out.events.select(columns).unionByName(warnings, allowMissingColumns=True)
 
 
 def bound_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +129,8 @@ def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (Spark and DuckDB) texts with planted secrets, by doc_id % 8.
 PLANTED = [
-    "Authorization: Bearer abc.def-123_456", "Basic dXNlcjpwYXNzd29yZA==", "x eyJhbGciOi.eyJzdWIi.sig_123- y", "gh" + "p_1234567890abcdef, sk" + "-proj-abcdefgh",
-    '{"api_key": "value", "name": "n"}', "export DB_PASSWORD=''quoted'' # c", "token: abc; cookie=def", "-----BEGIN RSA PRIVATE KEY----- a -----END RSA PRIVATE KEY----- z",
+    "header Authorization: Bearer q7.Rk-88_zz~", "curl -H Basic cGxhbnRlZDpzZWNyZXQ=", "id eyJrIjoxfQx.eyJ1IjoyfQy.mark_77-q end", "gh" + "o_plantedplanted12 and xox" + "b-planted-0000",
+    '{"refresh_token": "planted", "kind": "k"}', "export MAIL_TOKEN=''planted one'' # note", "passwd: planted1; secret=planted2", "-----BEGIN EC PRIVATE KEY----- planted -----END EC PRIVATE KEY----- rest",
 ]
 
 
@@ -88,14 +140,22 @@ def redact_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", R.redact(text, "").alias("redacted"))
 
 
+def redact_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours, titles, marks of direction and bells around texts and paths below a home directory."""
+    n = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("\x1b[31m"), "lang", F.lit("\x1b[0m \u202e"), "source", F.lit("\x07\x1b]0;title\x07 /home/someone/"), n, F.lit("\\x\ty\n\x9b1m\ufeff"))
+    return table(spark, sf_dir, "documents").select("doc_id", R.redact(text, "/home/someone").alias("redacted"), R.safe_display_path(text, "/home/someone").alias("shown"))
+
+
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", T.content_hash(F.col("role"), F.lit("response_message"), F.coalesce("text", F.lit(""))).alias("content_hash"))
 
 
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", T.content_hash(F.lit("user"), F.lit("user_message"), F.coalesce("text", F.lit(""))).alias("content_hash"))
-    return d.groupBy("source", "content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Sources are queries and documents their candidates, best first by doc_id."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.lit("").alias("root_id"), F.lit("").alias("session_id"), F.lit(0).alias("score"), F.col("doc_id").alias("seq"), T.content_hash(F.lit("user"), F.lit("user_message"), F.coalesce("text", F.lit(""))).alias("content_hash"))
+    return P.keep_first(d).select(F.col("query_id").alias("source"), "content_hash", F.col("seq").alias("doc_id"))
 
 
 def repo_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +188,27 @@ def hint_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(Q.repo_hints(F.col("url")), Q.canonical_repo), ",").alias("repos"))
 
 
+def hint_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An identifier after a word, one after a label, one of each document's digits in the form of a UUID, and one that is too short."""
+    k, h = F.col("p_partkey").cast("string"), F.md5(F.col("p_partkey").cast("string"))
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    q = F.concat(F.lit("In Session Ab-"), k, F.lit("-cdefg, thread tooshrt, run = R"), k, F.lit("x of "), F.upper(uuid))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(Q.id_hints(q), ",").alias("ids"))
+
+
+def hint_named_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository after its keyword, a slug, and a name that is no name."""
+    k = F.col("p_partkey").cast("string")
+    q = F.concat(F.lit("the repository called `Acme_"), k, F.lit("` and my-cool-App"), k, F.lit(" of project the, not two-words"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(Q.repo_hints(q), Q.canonical_repo), ",").alias("repos"))
+
+
+def query_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions trimmed and cut, and their terms as a match expression."""
+    q = F.concat(F.lit(" \n\t"), F.col("text"), F.lit("  "))
+    return Q.analyze(table(spark, sf_dir, "documents").select("doc_id", q.alias("query"))).select("doc_id", F.length("query").cast("long").alias("n"), F.sha2("query", 256).alias("sha"), F.size("terms").cast("long").alias("n_terms"))
+
+
 QUESTIONS = [
     ("Why did we choose this for", "why"), ("How was it implemented in", "how"), ("What work is still pending in", "unfinished"), ("Give a timeline of", "chronology"), ("Which model handled", "model"),
     ("Trace the screenshot lineage of", "attachment"), ("Find the release command of", "general"), ("Why did the model ignore the attachment in", "why"), ("From 1.2.3 to 1.2.4 in", "chronology"), ("the decision about", "why"),
@@ -186,6 +267,16 @@ def structured_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", boost.alias("boost"))
 
 
+def boost_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' sources as repositories, two of which the question names; null for one language."""
+    d = table(spark, sf_dir, "documents")
+    repo = F.when(F.col("lang") != "fr", F.upper("source"))
+    hints = F.array(*(F.struct(F.lit(o).cast("string").alias("owner"), F.lit(n).alias("name")) for o, n in ((None, "src1"), ("x", "src2"), (None, "SRC3"))))
+    none, no = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    boost = K.boost(F.lit("text"), repo, F.lit("tool"), F.when(F.col("doc_id") % 2 == 0, "task_complete").otherwise("tool_call"), no, none, F.lit(None).cast("array<long>"), none, none, hints, F.lit("how"))
+    return d.select("doc_id", boost.alias("boost"))
+
+
 def chronology_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("query_id"), F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp"))
     return e.select("event_id", K.chronology_bonus().alias("bonus"))
@@ -208,6 +299,32 @@ def evidence_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cited(rows.withColumns(more)).select("session_id", "root_id", "role", "text", "citation", "source", "score")
 
 
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of four queries whose candidates' scores are a rule of their numbers."""
+    e = conversation_events(spark, sf_dir).withColumn("n", F.col("session_id").cast("long") * 31 + F.col("seq"))
+    e = e.withColumns({"query_id": F.col("session_id").cast("long") % 4, "score": F.col("n") * 7919 % 1009, "root_id": F.concat(F.lit("r"), F.col("session_id").cast("long") % 10), "content_hash": F.md5(F.col("role")), "timestamp": F.when(F.col("n") % 5 > 0, F.concat(F.lit("t"), F.col("n") % 3)), "turn_id": F.lit(None).cast("string"), "path": F.concat(F.lit("/l/"), "session_id"), "line_no": F.col("seq") + 1, "byte_offset": F.col("seq") * 10})
+    e = e.withColumn("content_hash", F.md5(F.concat("role", (F.col("n") % 3).cast("string"))))
+    sessions = e.select("session_id", "root_id", F.concat(F.lit("repo"), F.col("session_id").cast("long") % 3).alias("repo"), F.lit("complete").alias("provenance_status")).distinct()
+    asked = spark.createDataFrame([(i, f"say `{i}`", "general") for i in range(5)], "query_id long, query string, intent string")
+    return P.packets(asked, e, sessions, 3, 7)
+
+
+def packet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence in its final order: score, time, session, line."""
+    listed = _packets(spark, sf_dir).select("query_id", "query", F.size("matched_sessions").cast("long").alias("sessions"), F.posexplode("evidence").alias("place", "e"))
+    return listed.select("query_id", "query", "sessions", F.col("place").cast("long").alias("place"), "e.session_id", "e.root_id", "e.timestamp", "e.citation", "e.source", "e.line", "e.byte_offset", F.col("e.score").cast("long").alias("score"))
+
+
+def packet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = _packets(spark, sf_dir).select("query_id", F.posexplode("matched_sessions").alias("place", "m"))
+    return listed.select("query_id", F.col("place").cast("long").alias("place"), "m.session_id", "m.root_id", "m.repo", "m.provenance_status", F.col("m.score").cast("long").alias("score"))
+
+
+def packet_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads, counts and ends of whole Markdown packets, and of the packet without evidence; bodies as hashes."""
+    return P.markdown(_packets(spark, sf_dir)).select("query_id", F.split("markdown", "\n\n    |\n- ")[0].alias("head"), F.sha2("markdown", 256).alias("sha"))
+
+
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -223,7 +340,84 @@ def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def models_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("models"))
+    """Event types as models of turns."""
+    e = table(spark, sf_dir, "events")
+    events = parse(_lines(e, _record("turn_context", F.struct(F.col("event_type").alias("model"))), "user_id", "event_id")).events
+    return models_of(events).select(F.col("path").cast("long").alias("user_id"), "models")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[EvidenceIndex, list[str], str]:
+    """An index over conversations written as log files, one a conversation: the even ones first, then all, after one has grown and
+    one has gone; every seventh has no session record."""
+    import shutil
+    import tempfile
+
+    base = tempfile.mkdtemp(prefix="tracewright-logs-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    os.makedirs(f"{base}/logs/b")
+    os.makedirs(f"{base}/logs/a")
+    rows = conversation_events(spark, sf_dir).orderBy("event_id").select("session_id", "role", "text").toArrow().to_pylist()
+    by: dict[int, list[str]] = {}
+    for r in rows:
+        lines = by.setdefault(int(r["session_id"]), [])
+        if not lines and int(r["session_id"]) % 7:
+            lines.append(json.dumps({"type": "session_meta", "payload": {"id": f"s{r['session_id']}", "cwd": f"/w/repo{int(r['session_id']) % 5}", "timestamp": "t0", **({"forked_from_id": f"s{int(r['session_id']) - 2}"} if int(r["session_id"]) % 3 == 0 else {})}}))
+        lines.append(json.dumps({"type": "response_item", "payload": {"type": "message", "role": r["role"], "content": [{"text": r["text"]}]}}, ensure_ascii=False))
+    place = lambda k: f"{base}/logs/{'ab'[k % 2]}/{k:06d}.jsonl"
+    index = EvidenceIndex(spark, f"{base}/db")
+    for turn in (0, 1):
+        for k, lines in by.items():
+            if turn or k % 2 == 0:
+                with open(place(k), "w", encoding="utf-8") as f:
+                    f.write("\n".join(lines[: len(lines) if turn or k % 4 else 1]) + "\n")
+        if turn:
+            os.remove(place(sorted(by)[-1]))
+        index.refresh([f"{base}/logs"])
+    return index, [f"{base}/logs"], base
+
+
+_indexes: dict[tuple[str, str], tuple[EvidenceIndex, list[str], str]] = {}
+
+
+def _shared_index(spark: SparkSession, sf_dir: str) -> tuple[EvidenceIndex, list[str], str]:
+    """``_index``, made once for queries that only read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = _index(spark, sf_dir)
+    return _indexes[key]
+
+
+def index_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that an index holds after two refreshes.  Log files are written by the driver: an index is on one machine."""
+    return _shared_index(spark, sf_dir)[0].table("events").select("session_id", "seq", "line_no", "role", "kind", F.sha2("text", 256).alias("sha"), "content_hash")
+
+
+def index_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared_index(spark, sf_dir)[0].table("sessions").select("session_id", "cwd", "repo", "parent_id", "root_id", "provenance_status", "thread_source", "timestamp")
+
+
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the index with their counts, and the discovered order of all files."""
+    index, logs, base = _shared_index(spark, sf_dir)
+    found = spark.createDataFrame([(p[len(base) :], i) for i, p in enumerate(rollouts.discover(logs))], "path string, place long")
+    held = index.table("files").select(F.replace("path", F.lit(base), F.lit("")).alias("path"), "session_id", "n_events")
+    return found.join(held, "path", "left").select("path", "place", "session_id", "n_events")
+
+
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the index's postings count for each event, and the lengths they carry."""
+    index = _shared_index(spark, sf_dir)[0]
+    return index.table("postings").groupBy("event_id").agg(F.sum("tf").alias("words"), F.max("dl").cast("long").alias("length")).join(index.table("events"), "event_id").select("session_id", "seq", "words", "length")
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a refresh that finds nothing new, of a rebuild, and of a refresh after the last file of folder a is gone."""
+    index, logs, _ = _index(spark, sf_dir)
+    stats = [index.refresh(logs), index.rebuild(logs)]
+    os.remove([p for p in rollouts.discover(logs) if "/a/" in p][-1])
+    stats.append(index.refresh(logs))
+    names = list(asdict(stats[0]))
+    return spark.createDataFrame([(i, *asdict(s).values()) for i, s in enumerate(stats)], "run long, " + ", ".join(f"{n} long" for n in names))
 
 
 def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +429,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         parse_rollouts, event_normalize, turn_carry, first_meta, json_field, bound_text, redact_text, redact_counts, redact_synthetic, content_hash, exact_dedup, repo_name, tokenize_query, select_terms, hint_versions, hint_commits,
-        hint_prs, hint_repos, intent, corpus_stats, bm25_topk, bm25_fields, bm25_batch, bm25_stemmed, structured_boost, chronology_bonus, session_topk, evidence_packet, lineage, incremental_diff, models_by_session, markdown_lines,
+        hint_prs, hint_repos, hint_ids, hint_named_repos, query_bounds, parse_kinds, redact_controls, boost_repo, packet_order, packet_sessions, packet_markdown, index_events, index_sessions, index_files, index_postings, index_stats, intent, corpus_stats, bm25_topk, bm25_fields, bm25_batch, bm25_stemmed, structured_boost, chronology_bonus, session_topk, evidence_packet, lineage, incremental_diff, models_by_session, markdown_lines,
     )
 }

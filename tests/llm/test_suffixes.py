@@ -42,7 +42,7 @@ def sample():
 
 def test_remove_repeats(spark):
     rows = sample()
-    for width, gram in ((50, 18), (24, 6)):
+    for width, gram in ((50, 18), (24, 8)):
         got = suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA), width, gram)
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute(rows, width)
     assert suffixes.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -62,3 +62,35 @@ def test_multikey(rows):
 def test_exact_fallback():
     windows = np.frombuffer(b"aabbaacc", np.uint8).reshape(4, 2)
     assert suffixes._exactly(windows, np.array([3, 1, 2, 5])).tolist() == [True, False, False, False]
+
+
+def test_first_seen_compares_bytes():
+    """Keys that meet do not make stretches equal."""
+    rng = np.random.default_rng(4)
+    seen = suffixes.FirstSeen(most=400)
+    first, forgotten = {}, 0
+    for d0 in range(0, 60, 3):
+        data = rng.integers(0, 2, 400).astype(np.uint8)
+        start = np.sort(rng.integers(0, 390, 80))
+        size = rng.integers(3, 8, 80)
+        d = d0 + np.arange(80) // 30
+        words = [data[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+        keys = np.array([len(w) * 7 + w[0] * 3 + w[1] for w in words], np.uint64)  # many words have one key
+        got = seen.smaller(keys, d, data, start, size)
+        for w, x, g in zip(words, d.tolist(), got.tolist(), strict=True):
+            assert not g or first.get(w, x) < x
+            forgotten += not g and first.get(w, x) < x
+            first[w] = min(x, first.get(w, x))
+    seen = suffixes.FirstSeen()
+    data = np.frombuffer(b"abcabcabd", np.uint8)
+    start, size = np.array([0, 3, 6]), np.array([3, 3, 3])
+    assert seen.smaller(np.array([1, 1, 1], np.uint64), np.array([1, 2, 3]), data, start, size).tolist() == [False, True, False]
+    assert seen.smaller(np.array([1, 1], np.uint64), np.array([4, 4]), data, start[1:], size[1:]).tolist() == [True, False]
+
+
+def test_limits_of_width(spark):
+    import pytest
+
+    for width, gram in ((100, 18), (50, 4), (10, 18)):
+        with pytest.raises(ValueError, match="gram"):
+            suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), width, gram)

@@ -5,9 +5,11 @@ equal ones.  Equal windows have equal anchors, so only suffixes that begin at an
 
 1. Anchors' hashes are dealt in packed, sorted pieces; those that occur in one document only are left out from here on.
 2. Suffixes at the other anchors, with the text to both sides that their windows reach, are range-partitioned by their leading bytes
-   between sampled splitters.  A task sends equal stretches of text once and settles the others itself.
-3. Each range sorts its suffixes by multikey quicksort over eight-byte digits and reads the common prefixes of neighbours.  Equal
-   leading bytes never straddle a splitter, so no group continues beyond its range.  Windows are compared within a group, bytes and all.
+   between sampled splitters.  A task sends equal stretches of text once, compared as bytes, and settles the others itself.
+3. Each range sorts its suffixes by multikey sort over eight-byte digits (where multikey quicksort parts by one character and pivot, the
+   runs that are equal so far are ordered by the next digit at once) and reads the common prefixes of neighbours.  Splitters are eight
+   leading bytes, which never straddle a range, so no group continues beyond one and nothing has to be compared across boundaries; the
+   price is that suffixes with the same eight bytes are in one range, whatever their number.  Windows are compared as bytes.
 """
 
 from __future__ import annotations
@@ -214,27 +216,64 @@ _HEAD = np.dtype([("rk", "<i8"), ("d", "<i8"), ("left", "<u2"), ("size", "<u2"),
 
 
 class FirstSeen:
-    """The smallest document of each stretch of text that a task has met; the task meets documents in ascending order."""
+    """The smallest document of each stretch of text that a task has met, with its bytes; the task meets documents in ascending order.
 
-    def __init__(self, most: int = 1_500_000):
-        self.keys, self.d, self.most = np.zeros(0, np.uint64), np.zeros(0, np.int64), most
+    Hashes find a stretch, bytes decide: one whose bytes are not those that were met counts as new.  Beyond ``most`` stretches all are
+    forgotten, which only makes the task send more.
+    """
+
+    def __init__(self, most: int = 500_000):
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.d, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store: list[np.ndarray] = []
+        self.length = 0
 
-    def smaller(self, keys: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """True where a stretch was met in a document with a smaller identifier."""
+    def smaller(self, keys: np.ndarray, d: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """True where a stretch data[start : start + size] was met in a document with a smaller identifier."""
         unique, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == unique[known]
-        first = d[index].copy()
-        first[known] = self.d[at[known]]
-        fresh = ~known
-        if len(self.keys) + int(fresh.sum()) > self.most:
-            self.keys, self.d = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        out = np.zeros(len(keys), bool)
+        mine = known[inverse]
+        if mine.any():
+            place = at[inverse[mine]]
+            out[mine] = (self.d[place] < d[mine]) & self._equal(self._stored(), self.at[place], self.size[place], data, start[mine], size[mine])
+        first = index[inverse]
+        later = np.flatnonzero(~mine & (first != np.arange(len(keys))))
+        out[later] = (d[first[later]] < d[later]) & self._equal(data, start[first[later]], size[first[later]], data, start[later], size[later])
+        fresh = index[~known]
+        if len(self.keys) + len(fresh) > self.most:
+            self._forget()
         else:
-            merged = np.concatenate([self.keys, unique[fresh]])
+            self.store.append(gather(data, start[fresh], size[fresh]))
+            merged = np.concatenate([self.keys, keys[fresh]])
             order = np.argsort(merged, kind="stable")
-            self.keys, self.d = merged[order], np.concatenate([self.d, d[index][fresh]])[order]
-        return first[inverse] < d
+            ends = np.cumsum(size[fresh]) + self.length
+            self.keys, self.d = merged[order], np.concatenate([self.d, d[fresh]])[order]
+            self.at, self.size = np.concatenate([self.at, ends - size[fresh]])[order], np.concatenate([self.size, size[fresh]])[order]
+            self.length += int(size[fresh].sum())
+        return out
+
+    def _stored(self) -> np.ndarray:
+        if len(self.store) > 1:
+            self.store = [np.concatenate(self.store)]
+        return self.store[0]
+
+    @staticmethod
+    def _equal(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+        """Whether slices of a equal slices of b, some thousands at a time."""
+        out = a_size == b_size
+        same = np.flatnonzero(out)
+        for i in range(0, len(same), 8192):
+            some = same[i : i + 8192]
+            size = b_size[some]
+            differ = gather(a, a_at[some], size) != gather(b, b_at[some], size)
+            out[some] = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+        return out
 
 
 def _suffixes(docs: DataFrame, width: int, gram: int, splitters: np.ndarray, at_once: int = 16 << 20) -> DataFrame:
@@ -276,7 +315,7 @@ def _suffixes(docs: DataFrame, width: int, gram: int, splitters: np.ndarray, at_
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[block.data] * power)])
                 key = mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64) * np.uint64(1_000_003) + (p - start).astype(np.uint64)) ^ mix(block.grams[p])
                 d, rk = ds[at + doc], rks[at + doc]
-                known = seen.smaller(key, d)
+                known = seen.smaller(key, d, block.data, start, size)
                 if known.any():
                     yield _told(rk[known], d[known], (start - block.first[doc])[known], (np.uint64(1) << count[known].astype(np.uint64)) - np.uint64(1))
                 # equal stretches of one document go out once, with all their places
@@ -491,17 +530,23 @@ def _settled(suffixes: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def splitters_of(docs: DataFrame, width: int, gram: int, ranges: int, sample: int = 2000) -> np.ndarray:
-    """Leading bytes that cut the anchors of about ``sample`` documents into equal ranges."""
+    """Leading bytes that cut anchors into equal ranges, from about 20 keys a range of about ``sample`` documents.
+
+    The rate of keys follows the bytes of the documents drawn, so what reaches the driver is bounded by ``ranges`` however long they are.
+    """
     n = docs.count()
+    drawn = docs.select("rk", "text").where(F.shiftrightunsigned(F.xxhash64("rk", F.lit(5)), 32) < int(min(1.0, sample / max(n, 1)) * (1 << 32)))
+    size = drawn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    step = max(1, size // (18 * max(2000, 20 * ranges)))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in text_blocks(batch):
                 block = Bytes(texts, width, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(_digits(block.data, block.anchors()[::8]).view(np.int64))], ["k"])
+                yield pa.RecordBatch.from_arrays([pa.array(_digits(block.data, block.anchors()[::step]).view(np.int64))], ["k"])
 
-    rows = docs.select("text").sample(min(1.0, sample / max(n, 1)), seed=5).limit(2 * sample).mapInArrow(tidied(go), "k long").collect()
-    keys = np.sort(np.array([r.k for r in rows], np.int64).view(np.uint64))
+    rows = drawn.select("text").mapInArrow(tidied(go), "k long").toArrow()
+    keys = np.sort(rows["k"].to_numpy().view(np.uint64))
     return np.unique(keys[[i * len(keys) // ranges for i in range(1, ranges)]]) if len(keys) else keys
 
 
@@ -512,9 +557,12 @@ def remove_repeats(df: DataFrame, width: int = 50, gram: int = 18, kept: bool =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes) of every row: without bytes of strings of ``width`` bytes
     that also begin in a document with a smaller doc_id.
 
-    Null texts are empty.  Strings are judged on the input.  Rows with the same doc_id remove nothing from each other; a null doc_id
-    is smaller than all others.
+    Null texts are empty.  Strings are judged on the input.  Rows with the same doc_id remove nothing from each other, repeated rows
+    included; a null doc_id is smaller than all others.  Extra columns are left out; an empty table has no rows.  A window's anchors
+    are told in 64 bits, so ``width - gram`` is below 63 and ``gram`` at least 8, the bytes by which suffixes are dealt.
     """
+    if not 8 <= gram <= width or width - gram > 62:
+        raise ValueError("gram must be 8 or more and width at most gram + 62")
     spark = df.sparkSession
     docs = keyed(df)
     n = partitions(spark)

@@ -15,22 +15,27 @@ from tracewright.llm.registry import table, vocabulary
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the machine trained on ``labels`` predicts toxic go; rows with a null or empty text are clean."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal normalised texts the one with the smallest doc_id stays; see ``exact.exact_groups`` for null ids."""
     return exact.drop_copies(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies (five words, 0.8) the rows of the smallest doc_id stay; rows without words all stay."""
     return jaccard.drop_similar(docs, n=5, threshold=0.8)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold a benchmark item with at most a sixteenth of its characters edited go."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, placed in sequences of 1,024 tokens; an empty table has no rows."""
     return packing.pack(docs, vocabulary(), end_id=2, capacity=1024)
 
 

@@ -108,7 +108,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, chars: int = 16, block_bytes: int
 
     ``end`` is a place in the document's canonical text.  An item of n canonical characters may have n // ``chars`` edits.  Items
     without words and null texts match nothing.  The items are a stated set of queries: they go to the tasks in blocks of at most
-    ``block_bytes`` characters, each block over all documents, whatever the number of items.  Rows that repeat are judged one by one.
+    ``block_bytes`` characters, each block over all documents, whatever the number of items.  Rows that repeat are judged one by one, texts of any length as a whole; a null doc_id is an identifier
+    like others; extra columns are left out.
     """
     return _found(df, benchmark, chars, block_bytes).drop("rk")
 

@@ -20,22 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words without windows of 35 that start anywhere else too."""
     return substring.remove_repeats(table(spark, sf_dir, "documents"), width=35, texts=False)
 
 
 def op2_sorted_string_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids as they are read back from sorted shards."""
     return sstable.token_shards(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
 def op3_pigeonhole_myers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, one edit for every 16 characters."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_longest_match_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece counts by longest match."""
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal normalised texts and the row of each that stays."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
@@ -43,22 +48,27 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def op6_url_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by five rules; a page that none fits is allowed."""
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
 def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of five-word sets with a similarity of 0.8 or more."""
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
 def op8_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes without 50-byte strings that start in an earlier document too."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), width=50, kept=False)
 
 
 def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1,024 tokens, packed into as few sequences as the search finds."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=1024)
 
 
 def op10_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores by a machine trained on four fifths of the labels."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -48,6 +48,44 @@ def test_remove_repeats(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_prefixes_longer_than_grams_are_split(spark, monkeypatch):
+    """Windows whose bytes are a splitter's are compared across ranges, whatever the splitters."""
+    rng = np.random.default_rng(3)
+    draw = lambda n, a="ab": "".join(rng.choice(list(a), n))
+    common = "In this article we will look at the ways in which people "
+    rows = sample() + [(300 + i, draw(i % 5, "xyz\0") + common[: 20 + i % 37] + draw(3, "\0é") + draw(40) + common, 0, "") for i in range(150)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    said = []
+
+    def every(docs, width, gram, ranges, sample=2000):
+        cut = real(docs, width, gram, 20_000) if deep else real(docs, width, gram, ranges)
+        said.append(cut)
+        return cut
+
+    real = suffixes.splitters_of
+    monkeypatch.setattr(suffixes, "splitters_of", every)
+    for deep in (False, True):
+        for width, gram in ((50, 18), (24, 8)):
+            got = suffixes.remove_repeats(df, width, gram)
+            assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute(rows, width)
+    assert max(len(x) for x in said[2].tolist()) == 50 and len(said[2]) > 500
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=6, max_size=6).map(lambda b: bytes(x % 3 * 127 for x in b)), min_size=1, max_size=60), st.integers(2, 40))
+def test_cut_keys(keys, ranges):
+    array = np.frombuffer(b"".join(keys), "S6")
+    cut = suffixes.cut_keys(array, ranges)
+    padded = [x.ljust(6, b"\0") for x in cut.tolist()]
+    assert padded == sorted(set(padded)) and len(padded) < ranges
+    route = np.searchsorted(cut, array, "right")
+    assert route.tolist() == [sum(c <= k for c in padded) for k in keys]
+    reach = suffixes._reach(array, route, cut, 2)
+    for k, got in zip(keys, reach.tolist(), strict=True):
+        most = max([next((i for i in range(6) if c[i] != k[i]), 6) for c in padded], default=0)
+        assert got == (most if most >= 2 else 0)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), min_size=3, max_size=3), min_size=1, max_size=40))
 def test_multikey(rows):

@@ -5,11 +5,14 @@ equal ones.  Equal windows have equal anchors, so only suffixes that begin at an
 
 1. Anchors' hashes are dealt in packed, sorted pieces; those that occur in one document only are left out from here on.
 2. Suffixes at the other anchors, with the text to both sides that their windows reach, are range-partitioned by their leading bytes
-   between sampled splitters.  A task sends equal stretches of text once, compared as bytes, and settles the others itself.
+   between sampled splitters, which are as long as it takes to tell them from the sample's key before (``width`` at most).  A task
+   sends equal stretches of text once, compared as bytes, and settles the others itself.
 3. Each range sorts its suffixes by multikey sort over eight-byte digits (where multikey quicksort parts by one character and pivot, the
-   runs that are equal so far are ordered by the next digit at once) and reads the common prefixes of neighbours.  Splitters are eight
-   leading bytes, which never straddle a range, so no group continues beyond one and nothing has to be compared across boundaries; the
-   price is that suffixes with the same eight bytes are in one range, whatever their number.  Windows are compared as bytes.
+   runs that are equal so far are ordered by the next digit at once) and reads the common prefixes of neighbours.  Windows are compared
+   as bytes.
+4. A group of equal windows continues beyond a range where all of its bytes from the anchor on are also a splitter's.  These windows
+   are compared across the boundary: each goes, alone, to a bucket of its own bytes instead of the range.  So a common prefix, however
+   long, is split among ranges.
 """
 
 from __future__ import annotations
@@ -205,10 +208,33 @@ def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def _digits(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as a big-endian number."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.lib.stride_tricks.sliding_window_view(padded, 8)[at].copy().view(">u8").ravel().astype(np.uint64)
+def _leading(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from each place, filled with zeros, as strings that compare byte by byte."""
+    padded = np.concatenate([data, np.zeros(n, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, n)[at].view(f"S{n}").ravel()
+
+
+def _rows(strings: np.ndarray) -> np.ndarray:
+    """Strings of one size as a matrix of bytes."""
+    return np.frombuffer(strings.tobytes(), np.uint8).reshape(len(strings), strings.itemsize)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of leading bytes that two strings share, for each pair."""
+    differ = _rows(a) != _rows(b)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.itemsize)
+
+
+def _reach(keys: np.ndarray, route: np.ndarray, splitters: np.ndarray, gram: int) -> np.ndarray:
+    """The most leading bytes that each key shares with a splitter, 0 for fewer than ``gram``; those beside its range share the most."""
+    out = np.zeros(len(keys), np.int64)
+    short, short_keys = splitters.astype(f"S{gram}"), keys.astype(f"S{gram}")
+    for beside in (route - 1, route):
+        some = np.flatnonzero((beside >= 0) & (beside < len(splitters)))
+        some = some[short[beside[some]] == short_keys[some]]
+        if len(some):
+            out[some] = np.maximum(out[some], _shared(keys[some], splitters[beside[some]]))
+    return out
 
 
 _SUFFIXES = "route long, kind int, rk long, head binary, body binary"
@@ -326,10 +352,23 @@ def _suffixes(docs: DataFrame, width: int, gram: int, splitters: np.ndarray, at_
                 lead = np.flatnonzero(np.r_[True, (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])])
                 places = np.diff(np.r_[lead, len(order)])
                 one = order[lead]
-                head = np.empty(len(one), _HEAD)
-                head["rk"], head["d"], head["left"], head["size"], head["places"] = rk[one], d[one], (p - start)[one], size[one], places
-                text = gather(block.data, start[one], size[one])
-                parts.append((np.searchsorted(splitters, _digits(block.data, p[one]), "right"), head, size[one], (start - block.first[doc])[order].astype("<u4"), places, text))
+                lead_bytes = _leading(block.data, p[one], width)
+                route = np.searchsorted(splitters, lead_bytes, "right")
+                # the first windows of a stretch, with the fewest bytes from the anchor on, may continue beyond the range
+                apart = np.clip((p - start)[one] - width + _reach(lead_bytes, route, splitters, gram) + 1, 0, count[one])
+                inner = np.flatnonzero(apart < count[one])
+                of = np.concatenate([inner, np.repeat(np.arange(len(one)), apart)])
+                shift = np.concatenate([apart[inner], np.arange(apart.sum()) - np.repeat(np.cumsum(apart) - apart, apart)])
+                length = np.concatenate([(size[one] - apart)[inner], np.full(len(of) - len(inner), width)])
+                begin, n_places = start[one][of] + shift, places[of]
+                alone = begin[len(inner) :]
+                window = mix((sums[alone + width] - sums[alone]) * inverse[alone])
+                route = np.concatenate([route[inner], len(splitters) + 1 + (window % np.uint64(len(splitters) + 1)).astype(np.int64)])
+                where = gather((start - block.first[doc])[order], lead[of], n_places) + np.repeat(shift, n_places)
+                head = np.empty(len(of), _HEAD)
+                head["rk"], head["d"], head["left"], head["size"], head["places"] = rk[one][of], d[one][of], (p[one][of] - begin), length, n_places
+                text = gather(block.data, begin, length)
+                parts.append((route, head, length, where.astype("<u4"), n_places, text))
                 held += len(text)
                 if held > at_once:
                     yield send(parts)
@@ -543,11 +582,24 @@ def splitters_of(docs: DataFrame, width: int, gram: int, ranges: int, sample: in
         for batch in batches:
             for _, texts in text_blocks(batch):
                 block = Bytes(texts, width, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(_digits(block.data, block.anchors()[::step]).view(np.int64))], ["k"])
+                keys = _leading(block.data, block.anchors()[::step], width)
+                yield pa.RecordBatch.from_arrays([_binaries(keys.tobytes(), np.arange(len(keys) + 1) * width)], ["k"])
+
+    rows = drawn.select("text").mapInArrow(tidied(go), "k binary").toArrow()
+    return cut_keys(np.frombuffer(b"".join(rows["k"].to_pylist()), f"S{width}"), ranges)
+
 
-    rows = drawn.select("text").mapInArrow(tidied(go), "k long").toArrow()
-    keys = np.sort(rows["k"].to_numpy().view(np.uint64))
-    return np.unique(keys[[i * len(keys) // ranges for i in range(1, ranges)]]) if len(keys) else keys
+def cut_keys(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Quantiles of the keys, each cut behind the first byte in which it differs from the next smaller key."""
+    keys, counts = np.unique(keys, return_counts=True)
+    if not len(keys):
+        return keys
+    ends = np.cumsum(counts)
+    at = np.unique(np.searchsorted(ends, np.arange(1, ranges) * ends[-1] // ranges, "right"))
+    at = at[at > 0]
+    bytes_ = _rows(keys[at]).copy()
+    bytes_[np.arange(keys.itemsize) > _shared(keys[at], keys[at - 1])[:, None]] = 0
+    return np.unique(bytes_.view(keys.dtype).ravel())
 
 
 _ROWS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
@@ -559,7 +611,7 @@ def remove_repeats(df: DataFrame, width: int = 50, gram: int = 18, kept: bool =
 
     Null texts are empty.  Strings are judged on the input.  Rows with the same doc_id remove nothing from each other, repeated rows
     included; a null doc_id is smaller than all others.  Extra columns are left out; an empty table has no rows.  A window's anchors
-    are told in 64 bits, so ``width - gram`` is below 63 and ``gram`` at least 8, the bytes by which suffixes are dealt.
+    are told in 64 bits, so ``width - gram`` is below 63, and ``gram`` is at least 8.
     """
     if not 8 <= gram <= width or width - gram > 62:
         raise ValueError("gram must be 8 or more and width at most gram + 62")

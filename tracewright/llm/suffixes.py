@@ -32,6 +32,11 @@ _BASE, _SPAN_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _NOBODY = np.uint32(0xFFFFFFFF)
 
 
+def dealt(rows: DataFrame, n: int, number: str) -> DataFrame:
+    """Rows in n partitions by a number in turn: a few numbers a partition would be dealt unevenly by their hashes."""
+    return rows.repartitionById(n, F.pmod(number, F.lit(n)).cast("int"))
+
+
 class Bytes:
     """Bytes of some documents, the hash of each gram, and for each window the smallest hash in it and its document (-1: none)."""
 
@@ -164,7 +169,7 @@ def _repeated(pieces: DataFrame) -> DataFrame:
             yield batch_of(out, _PIECES)
 
     n = partitions(pieces.sparkSession)
-    return pieces.repartition(n, "route").sortWithinPartitions("route").mapInArrow(tidied(go), _PIECES)
+    return dealt(pieces, n, "route").sortWithinPartitions("route").mapInArrow(tidied(go), _PIECES)
 
 
 def _by_document(pieces: DataFrame) -> DataFrame:
@@ -564,8 +569,8 @@ def _settled(suffixes: DataFrame, width: int, gram: int) -> DataFrame:
             found = pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(values[some[0] : some[-1]], pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array(keys[some[:-1]]), found], ["rk", "found"])
 
-    packed = suffixes.repartition(n_buckets, "route").sortWithinPartitions("route").mapInArrow(tidied(go), "bucket int, answers binary")
-    return packed.repartition(n_buckets, "bucket").select("answers").mapInArrow(tidied(unpack), "rk long, found array<binary>")
+    packed = dealt(suffixes, n_buckets, "route").sortWithinPartitions("route").mapInArrow(tidied(go), "bucket int, answers binary")
+    return dealt(packed, n_buckets, "bucket").select("answers").mapInArrow(tidied(unpack), "rk long, found array<binary>")
 
 
 def splitters_of(docs: DataFrame, width: int, gram: int, ranges: int, sample: int = 2000) -> np.ndarray:

@@ -10,6 +10,7 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 
 from ..fixed import ANY_CONTROL, SECRETS, TERMINAL_CONTROLS
+from .kept import built_once
 
 
 def _let(text: Column, then: Callable[[Column], Column]) -> Column:
@@ -55,5 +56,17 @@ def redact(text: Column, home: str | None = None) -> Column:
     return elide_home(redact_secrets(strip_terminal_controls(text)), home)
 
 
+@built_once
+def redacted(name: str) -> Column:
+    """``redact`` of a column by its name."""
+    return redact(F.col(name))
+
+
 def safe_display_path(path: Column, home: str | None = None) -> Column:
     return F.translate(redact(path, home), "\\", "/")
+
+
+@built_once
+def shown_path(name: str) -> Column:
+    """``safe_display_path`` of a column by its name."""
+    return F.translate(redacted(name), "\\", "/")

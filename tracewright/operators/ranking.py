@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed as X
+from ..functions.kept import built_once
 from ..functions.text import ascii_lower, document_tokens, stem
 
 
@@ -110,6 +111,12 @@ def boost(text: Column, repo: Column, role: Column, kind: Column, timestamp: Col
     return (hints + by_intent).cast("long")
 
 
+@built_once
+def boosted() -> Column:
+    """``boost`` of columns of these names."""
+    return boost(*(F.col(c) for c in ("text", "repo", "role", "kind", "timestamp", "ids", "prs", "versions", "commits", "repos", "intent")))
+
+
 def chronology_bonus() -> Column:
     """Ten points for each earlier candidate of the same query, a hundred of them at most; events without a time come first."""
     order = W.partitionBy("query_id").orderBy(F.asc_nulls_first("timestamp"), "event_id")

@@ -15,7 +15,6 @@ _L, _N, _S = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9", " \t\n\r\x0b\x0c"
 #: The pre-tokenizer's pattern for texts of ASCII and Latin-1 letters only, where its classes are these.
 _PLAIN = re.compile(rf"[\x00-\x7fÀ-ÖØ-öø-ÿ]*\Z")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_RUN = re.compile(r"\s ")
 
 
 class Encoder:
@@ -39,7 +38,10 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        #: Characters of plain texts as the model's letters for their bytes.
+        self.mapped = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self.space = self.mapped[32]
 
     def _ids(self, mapped: str) -> bytes:
         return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(mapped)])
@@ -53,29 +55,39 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece of the pattern.  A piece with its space is also a unit, and is kept as one."""
-        cache, key = (self.units, piece[1:]) if piece[0] == " " and len(piece) > 1 else (self.pieces, piece)
+        cache, key = (self.units, piece[1:]) if piece[0] == " " and not piece[-1].isspace() else (self.pieces, piece)
         found = cache.get(key)
-        return self._keep(cache, key, self._ids(piece.encode().decode("latin-1").translate(self.letters))) if found is None else found
+        return self._keep(cache, key, self._ids(piece.translate(self.mapped))) if found is None else found
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if not text:
             return b""
-        if _RUN.search(text):
-            return b"".join(map(self._bare, re.split(r"(?= \S)", text)))
         units = text.split(" ")
-        get, out = self.units.get, [self._bare(units[0])] if units[0] else []
-        for u in units[1:]:
-            found = get(u)
-            if found is None:
-                found = self._after_space(u)
-            out.append(found)
-        return b"".join(out)
+        first, last = units[0], len(units) - 1
+        if last and first and first[-1].isspace():
+            return self._runs(text)
+        found = list(map(self.units.get, units))
+        found[0] = self._bare(first) if first else b""
+        for at in [i for i, ids in enumerate(found) if ids is None]:
+            unit = units[at]
+            if at < last and (not unit or unit[-1].isspace()):
+                return self._runs(text)
+            found[at] = self._after_space(unit)
+        return b"".join(found)
+
+    def _runs(self, text: str) -> bytes:
+        """A text with white space before some space, which belongs to no unit of its own."""
+        return b"".join(map(self._bare, re.split(r"(?= \S)", text)))
 
     def _after_space(self, unit: str) -> bytes:
-        """Kept under the unit without its space."""
-        return self._keep(self.units, unit, self._bare(" " + unit))
+        """Kept under the unit without its space, unless it ends in white space: so a unit that is known ends in none."""
+        found = self.units.get(unit)
+        if found is not None:
+            return found
+        found = self._ids(self.space + unit) if unit.isascii() and unit.isalpha() else self._bare(" " + unit)
+        return self._keep(self.units, unit, found) if unit and not unit[-1].isspace() else found
 
     def _bare(self, unit: str) -> bytes:
         if not _PLAIN.match(unit):

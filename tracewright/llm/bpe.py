@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -20,7 +21,7 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}
 class Encoder:
     """``encode(text)`` gives the ids as bytes of ``dtype``; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 800_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -47,8 +48,9 @@ class Encoder:
         return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(mapped)])
 
     def _keep(self, cache: dict[str, bytes], key: str, found: bytes) -> bytes:
-        if len(cache) >= self.cached:
-            cache.clear()
+        if len(cache) >= self.cached:  # the older half goes; what is common in it soon comes back
+            for old in list(islice(cache, self.cached // 2)):
+                del cache[old]
         if len(key) <= 64:
             cache[key] = found
         return found
@@ -86,7 +88,12 @@ class Encoder:
         found = self.units.get(unit)
         if found is not None:
             return found
-        found = self._ids(self.space + unit) if unit.isascii() and unit.isalpha() else self._bare(" " + unit)
+        if unit.isascii() and unit.isalpha():
+            found = self._ids(self.space + unit)
+        elif unit.isascii() and unit[:-1].isalpha() and unit[-1] in ",.":
+            found = self._after_space(unit[:-1]) + self._piece(unit[-1])
+        else:
+            found = self._bare(" " + unit)
         return self._keep(self.units, unit, found) if unit and not unit[-1].isspace() else found
 
     def _bare(self, unit: str) -> bytes:

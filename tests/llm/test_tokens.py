@@ -125,6 +125,22 @@ def test_bin_completion_finds_planted_packings():
     assert met >= 5 > best
 
 
+def test_search_is_the_same_for_many_bins():
+    """Planted packings of over 100 bins are searched as a whole, like small ones."""
+    for seed, bins, times in ((1, 110, 1), (1, 12, 9), (1, 16, 40)):
+        a, b = np.sort(np.random.default_rng(seed).choice(np.arange(1, 1024), (bins, 2)), axis=1).T
+        keep = a < b
+        counts = times * np.bincount(np.concatenate([a[keep], (b - a)[keep], (1024 - b)[keep]]), minlength=1025)
+        plan = packing.bin_completion(counts)
+        held = np.zeros(1025, int)
+        for filling, n in plan:
+            assert sum(s * k for s, k in filling) <= 1024
+            for s, k in filling:
+                held[s] += k * n
+        assert (held == counts).all()
+        assert packing.bins_of(plan) == times * keep.sum() > 100
+
+
 def test_fillings_are_undominated():
     stock = packing.Stock({7: 1, 4: 2, 3: 2, 2: 1, 6: 1}, 13)
     found = stock.fillings(6, 3, 99, 10_000)

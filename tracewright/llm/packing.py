@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -109,13 +110,14 @@ class Stock:
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left, self.capacity = dict(counts), capacity
-        self.sizes, self.sums = [], []
+        self.sizes, self.sums, self.unused = [], [], 0
         self.refresh()
 
     def refresh(self) -> None:
-        """To be called when lengths have run out or come back; in between, ``sums`` has too many sums rather than too few."""
+        """To be called when lengths have run out or come back."""
         self.sizes = [s for s in sorted(self.left) if self.left[s]]
         self.sums = reachable(self.sizes, self.capacity)
+        self.unused = sum(1 << s for s in self.sizes)
 
     def take(self, filling: Filling, times: int = 1) -> None:
         for s, k in filling:
@@ -124,58 +126,50 @@ class Stock:
     def fillings(self, top: int, most_waste: int, most: int, steps: int) -> list[tuple[int, Filling]]:
         """(waste, filling) of up to ``most`` undominated bins that hold ``top``, fullest first; of equal waste the longest lengths first.
 
-        Every length is tried only where the rest of the room is a sum that shorter ones can make.  After ``steps`` lengths the search
-        ends with what it has.
+        Every length is tried only where the rest of the room is a sum that shorter ones can make, and no longer unused length could take
+        the place of it or of it and another chosen one without overflowing (Martello and Toth).  After ``steps`` lengths the search ends
+        with what it has.
         """
         left, sizes, sums = self.left, self.sizes, self.sums
         found: list[tuple[int, Filling]] = []
         chosen: list[tuple[int, int]] = []
         left[top] -= 1
 
-        def go(i: int, rest: int, waste: int) -> bool:
+        def go(to: int, rest: int, waste: int, unused: int) -> bool:
+            """``unused``: lengths of which there are more than chosen, as bits."""
             nonlocal steps
             if not rest:
-                if not self._dominated(chosen, waste):
-                    held = {top: 1}
-                    for s, k in chosen:
-                        held[s] = held.get(s, 0) + k
-                    found.append((waste, tuple(sorted(held.items(), reverse=True))))
+                held = {top: 1}
+                for s, k in chosen:
+                    held[s] = held.get(s, 0) + k
+                found.append((waste, tuple(sorted(held.items(), reverse=True))))
                 return len(found) >= most
-            while i >= 0:
+            some = (1 << waste + 1) - 1
+            for i in range(bisect_right(sizes, rest, 0, to) - 1, -1, -1):
+                if not sums[i] >> rest & 1:
+                    return False
                 s = sizes[i]
-                if s <= rest:
-                    if not sums[i] >> rest & 1:
-                        return False
-                    steps -= 1
-                    if steps < 0:
+                steps -= 1
+                if steps < 0:
+                    return True
+                if waste and unused >> s + 1 & some >> 1 or any(unused >> s + a & some for a, _ in chosen):
+                    continue
+                for k in range(min(rest // s, left[s], 1 if unused >> 2 * s & some else rest), 0, -1):
+                    chosen.append((s, k))
+                    stop = go(i, rest - k * s, waste, unused if k < left[s] else unused & ~(1 << s))
+                    chosen.pop()
+                    if stop:
                         return True
-                    for k in range(min(rest // s, left[s]), 0, -1):
-                        chosen.append((s, k))
-                        stop = go(i - 1, rest - k * s, waste)
-                        chosen.pop()
-                        if stop:
-                            return True
-                i -= 1
             return False
 
         room = self.capacity - top
+        unused = self.unused if left[top] else self.unused & ~(1 << top)
         for waste in range(min(most_waste, room) + 1):
-            if go(len(sizes) - 1, room - waste, waste):
+            if go(len(sizes), room - waste, waste, unused):
                 break
         left[top] += 1
         return found
 
-    def _dominated(self, chosen: list[tuple[int, int]], waste: int) -> bool:
-        """Whether one longer unused length could take the place of one or two chosen ones without overflowing (Martello and Toth)."""
-        used = dict(chosen)
-        items = [s for s, k in chosen for _ in range(min(k, 2))][:8]
-        for i, a in enumerate(items):
-            for sum_ in ([a + 1] if waste else []) + [a + b for b in items[i + 1 :]]:
-                for t in range(sum_, (sum_ - 1 if sum_ == a + 1 else sum_) + waste + 1):
-                    if self.left.get(t, 0) > used.get(t, 0):
-                        return True
-        return False
-
 
 def fullest_first(counts: dict[int, int], capacity: int, steps: int = 3000) -> Plan:
     """Each bin takes the longest length left with its fullest filling, as many times as counts allow; best fit where none is found."""
@@ -200,45 +194,56 @@ def fullest_first(counts: dict[int, int], capacity: int, steps: int = 3000) -> P
     return plan
 
 
-def complete(counts: dict[int, int], bins: int, capacity: int, nodes: int, rng: random.Random, most: int = 6, look: int = 8) -> list[Filling] | None:
-    """Branch and bound for a packing into ``bins`` bins; None if there is none or ``nodes`` nodes do not find it.
+def complete(counts: dict[int, int], bins: int, capacity: int, nodes: int, rng: random.Random, most: int = 6, look: int = 8) -> Plan | None:
+    """Branch and bound for a packing into ``bins`` bins; None if ``nodes`` nodes and ``most`` fillings a branch do not find it.
 
     A branch completes the bin of that of the ``look`` longest lengths which has the fewest fillings within the waste that is left to
-    spend; it ends where one of them has none.  Fillings with fewer pieces come first, ties in random order.
+    spend; it ends where one of them has none.  It takes a filling as many times as counts and waste allow, then half as often and so on,
+    so a plan is as deep as it has fillings, not bins, and the search is the same for few documents and many.  Fillings with fewer pieces
+    come first, ties in random order.
     """
     stock, plan = Stock(counts, capacity), []
+    spare = bins * capacity - sum(s * k for s, k in counts.items())
+    if spare < 0:
+        return None
 
-    def go(spare: int) -> bool:
-        nonlocal nodes
-        stock.refresh()
-        if not stock.sizes:
-            return True
-        nodes -= 1
-        if len(plan) == bins or nodes < 0:
-            return False
+    def branch() -> list[tuple[int, Filling, int]]:
+        """(waste, filling, times) in the order to be tried."""
         options: list[tuple[int, Filling]] | None = None
         for top in stock.sizes[: -look - 1 : -1]:
             found = stock.fillings(top, spare, len(options) if options else most, 400)
             if not found:
-                return False
+                return []
             if options is None or len(found) < len(options):
                 options = found
             if len(options) == 1:
                 break
         rng.shuffle(options)
-        for waste, filling in sorted(options, key=lambda o: (o[0], sum(k for _, k in o[1]))):
-            stock.take(filling)
-            plan.append(filling)
-            if go(spare - waste):
-                return True
-            plan.pop()
-            stock.take(filling, -1)
-            if nodes < 0:
-                return False
-        return False
+        options.sort(key=lambda o: (o[0], sum(k for _, k in o[1])))
+        often = [min(spare // w if w else stock.left[f[0][0]], *(stock.left[s] // k for s, k in f)) for w, f in options]
+        return [(w, f, n >> i) for i in range(max(often).bit_length()) for (w, f), n in zip(options, often, strict=True) if n >> i]
 
-    spare = bins * capacity - sum(s * k for s, k in counts.items())
-    return plan if spare >= 0 and go(spare) else None
+    branches: list[Iterator[tuple[int, Filling, int]]] = []
+    while stock.sizes:
+        nodes -= 1
+        if nodes < 0:
+            return None
+        branches.append(iter(branch()))
+        while (step := next(branches[-1], None)) is None:
+            branches.pop()
+            if not branches:
+                return None
+            waste, filling, times = plan.pop()
+            stock.take(filling, -times)
+            stock.refresh()
+            spare += waste * times
+        waste, filling, times = step
+        stock.take(filling, times)
+        if not all(stock.left[s] for s, _ in filling):
+            stock.refresh()
+        spare -= waste * times
+        plan.append(step)
+    return [(filling, times) for _, filling, times in plan]
 
 
 def tighten(counts: dict[int, int], bins: int, waste: int, capacity: int, nodes: int, rng: random.Random) -> list[Filling] | None:
@@ -326,11 +331,11 @@ def walk(plan: Plan, bound: int, capacity: int, steps: int, rng: random.Random)
     return [(f, n) for f, n in bins.items() if n]
 
 
-def bin_completion(counts: np.ndarray, nodes: int = 10_000, steps: int = 3000, small: int = 100) -> Plan:
+def bin_completion(counts: np.ndarray, nodes: int = 10_000, steps: int = 3000) -> Plan:
     """A plan of as few bins as bin completion finds; best fit is the first incumbent, the fullest fillings the second.
 
-    Up to ``small`` bins (whole pieces aside) all of the problem is searched for one bin less, in dives of up to four nodes a bin with
-    other random ties each, and again after a success, for ``nodes`` nodes altogether.  Then a walk of ``steps`` steps solves residual
+    Of any number of bins, all of the problem is searched for one bin less, in dives of up to four nodes a row of the plan with other
+    random ties each, and again after a success, for ``nodes`` nodes altogether.  Then a walk of ``steps`` steps solves residual
     problems of two to four bins by the same fillings.  The search ends at once when the lower bound is met.  It is bounded by nodes,
     not by time, so a plan is always the same; beyond these bounds a plan with fewer bins may exist.
     """
@@ -340,11 +345,10 @@ def bin_completion(counts: np.ndarray, nodes: int = 10_000, steps: int = 3000, s
     best = min(best_fit(np.r_[counts[:-1], 0]), fullest_first(known, capacity), key=bins_of)
     bound -= whole
     rng = random.Random(7)
-    while nodes > 0 and bound < bins_of(best) <= small:
-        dive = min(nodes, 4 * bins_of(best))
+    while nodes > 0 and bound < bins_of(best):
+        dive = min(nodes, 4 * len(best))
         nodes -= dive
-        if found := complete(known, bins_of(best) - 1, capacity, dive, rng):
-            best = [(f, 1) for f in found]
+        best = complete(known, bins_of(best) - 1, capacity, dive, rng) or best
     if bins_of(best) > bound:
         best = walk(best, bound, capacity, steps, rng)
     return [*best, *([(((capacity, 1),), whole)] if whole else [])]

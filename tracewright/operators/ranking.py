@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import fixed as X
 from ..functions.kept import built_once
@@ -14,6 +16,8 @@ from ..functions.text import ascii_lower, document_tokens, fold, porter, stem
 
 #: Bytes of events' words that are counted at once, and words whose stems a task keeps.
 COUNTED_BYTES, KEPT_STEMS = 8 << 20, 500_000
+#: Texts and questions whose pairs are scored at once.
+SCORED_ROWS, SCORED_QUESTIONS = 256, 1024
 
 
 def field_of(role: Column) -> Column:
@@ -117,14 +121,18 @@ def weight_of(field: Column) -> Column:
     return out
 
 
+def idf_of(n: Column, df: Column) -> Column:
+    idf = F.ln((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, X.BM25_LEAST_IDF).otherwise(idf)
+
+
 def bm25(terms: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, event_id, score of (query_id, pos, term), best with all terms that an event has, added in the order of pos.
 
     ``found`` are the ``hits`` of these terms; document frequencies are counted on them.  The one-row corpus is broadcast.
     """
     n = F.col("n").cast("double")
-    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, X.BM25_LEAST_IDF).otherwise(idf)
+    idf = idf_of(n, F.col("df"))
     k1, b, f = X.BM25_K1, X.BM25_B, F.col("f")
     part = F.col("idf") * (f * (k1 + 1.0)) / (f + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
     rare = found.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus)).select("term", idf.alias("idf"), (F.col("total_tokens") / n).alias("avgdl"))
@@ -133,6 +141,98 @@ def bm25(terms: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:
     return each.select("query_id", "event_id", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["part"]).alias("score"))
 
 
+def _asked_in(tokens: pa.ListArray, terms: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(row, number of term, count) of the terms that texts have, by row, and the texts' lengths."""
+    words = tokens.flatten()
+    ids = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = pc.match_substring_regex(words, r"[^\p{Mn}]").to_numpy(zero_copy_only=False)
+    ends = tokens.offsets.to_numpy().astype(np.int64)
+    return tallied(tokens, ids, len(terms)), np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[ends - ends[0]])
+
+
+def best_by_scan(asked: DataFrame, events: DataFrame, most: int) -> DataFrame:
+    """query_id, event_id, score (quantised), place: ``top`` of ``bm25`` without weights of (query_id, pos, term) over all texts of
+    (event_id, text), where pairs of a question and an event are too many to be shuffled.
+
+    Questions and document frequencies, a row a term, pass through the driver and go to all tasks.  A task scores blocks of its texts
+    against all questions and keeps the best ``most`` of each; only these are shuffled.  Texts of one event_id count as one, whose
+    length is that of all its texts once for each of them, as SQL's join has it; those without one count for document frequencies and as
+    one event without words, and are not ranked.
+    """
+    spark = events.sparkSession
+    if not events.groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        events = events.groupBy("event_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"), F.count("*").alias("copies"))
+    else:
+        events = events.withColumn("copies", F.lit(1).cast("long"))
+    tokens = events.select("event_id", "copies", document_tokens(F.col("text")).alias("tokens"))
+    numbers: dict[str, int] = {}
+    lists: dict[object, list[int]] = {}
+    for r in asked.orderBy("query_id", "pos", "term").select("query_id", "term").collect():
+        lists.setdefault(r.query_id, []).append(numbers.setdefault(r.term, len(numbers)))
+    terms, n_terms = pa.array(list(numbers), pa.string()), len(numbers)
+    at = np.full((max(map(len, lists.values()), default=0), len(lists)), n_terms)  # the term at each place of each question
+    for i, those in enumerate(lists.values()):
+        at[: len(those), i] = those
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(n_terms, np.int64), 0, 0
+        for batch in slices(batches, COUNTED_BYTES):
+            (_, found, _), lengths = _asked_in(batch.column("tokens"), terms)
+            lengths = lengths * batch.column("copies").to_numpy()
+            df += np.bincount(found, minlength=n_terms)
+            n, total = n + batch.num_rows, total + int(lengths[batch.column("event_id").is_valid().to_numpy(zero_copy_only=False)].sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, n_terms)), pa.array(np.concatenate([[n, total], df]))], ["number", "df"])
+
+    sums = dict(map(tuple, tokens.mapInArrow(count, "number long, df long").groupBy("number").agg(F.sum("df").alias("df")).collect()))
+    n, total = sums.get(-2, 0), sums.get(-1, 0)
+    weights = np.zeros(n_terms)
+    rare = spark.createDataFrame([(i, d, n) for i, d in sums.items() if i >= 0], "number long, df long, n long")
+    for r in rare.select("number", idf_of(F.col("n").cast("double"), F.col("df")).alias("idf")).collect():
+        weights[r.number] = r.idf
+    k1, b, average = X.BM25_K1, X.BM25_B, total / n if n else 0.0
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        best, least = (none, none, none), np.zeros(len(lists), np.int64)  # (question, score, event) of the best so far; what it takes to be among them
+        for batch in slices(batches, COUNTED_BYTES):
+            batch = batch.filter(batch.column("event_id").is_valid())
+            (rows, found, f), lengths = _asked_in(batch.column("tokens"), terms)
+            lengths = lengths * batch.column("copies").to_numpy()
+            ids = batch.column("event_id").to_numpy(zero_copy_only=False)
+            parts = weights[found] * (f * (k1 + 1.0)) / (f + k1 * (1.0 - b + b * lengths[rows] / average)) if len(f) else np.zeros(0)
+            for lo in range(0, batch.num_rows, SCORED_ROWS):
+                hi = min(lo + SCORED_ROWS, batch.num_rows)
+                a, z = np.searchsorted(rows, [lo, hi])
+                here, own = np.unique(found[a:z], return_inverse=True)
+                matrix = np.zeros((len(here), hi - lo))
+                matrix[own, rows[a:z] - lo] = parts[a:z]
+                to = np.full(n_terms + 1, -1)
+                to[here] = np.arange(len(here))
+                for q0 in range(0, len(lists), SCORED_QUESTIONS):
+                    wanted = to[at[:, q0 : q0 + SCORED_QUESTIONS]]
+                    sums = np.zeros((wanted.shape[1], hi - lo))
+                    for place in wanted:  # parts are added in the order of pos
+                        some = np.flatnonzero(place >= 0)
+                        sums[some] += matrix[place[some]]
+                    whole = np.floor(sums * 1_000_000.0)
+                    rounded = (whole + (sums * 1_000_000.0 - whole >= 0.5)).astype(np.int64)  # as ``quantised``
+                    q, c = np.nonzero((sums > 0) & (rounded >= least[q0 : q0 + SCORED_QUESTIONS, None]))
+                    if not len(q):
+                        continue
+                    new = (np.concatenate([best[0], q + q0]), np.concatenate([best[1], rounded[q, c]]), np.concatenate([best[2], ids[lo + c]]))
+                    order = np.lexsort((new[2], -new[1], new[0]))
+                    new = tuple(x[order] for x in new)
+                    rank = np.arange(len(order)) - np.searchsorted(new[0], new[0])
+                    best = tuple(x[rank < most] for x in new)
+                    last = rank == most - 1
+                    least[new[0][last]] = new[1][last]
+        yield pa.RecordBatch.from_arrays([pa.array(list(lists), query_type).take(pa.array(best[0])), pa.array(best[2]), pa.array(best[1])], ["query_id", "event_id", "score"])
+
+    query_type = to_arrow_type(asked.schema["query_id"].dataType)
+    found = tokens.mapInArrow(score, f"query_id {asked.schema['query_id'].dataType.simpleString()}, event_id long, score long")
+    return top(found, most)
+
+
 def quantised(score: Column) -> Column:
     return F.round(score * 1_000_000.0).cast("long")
 

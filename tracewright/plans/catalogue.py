@@ -241,9 +241,8 @@ def _asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 0, "the"), (0, 1, "and"), (0, 2, "ther")], "query_id int, pos int, term string")
 
 
-def _scored(spark: SparkSession, sf_dir: str, weighted: bool, terms: DataFrame | None = None, events: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
-    events = conversation_events(spark, sf_dir) if events is None else events
-    terms = _asked(spark) if terms is None else terms
+def _scored(spark: SparkSession, sf_dir: str, weighted: bool, stemmed: bool = False) -> DataFrame:
+    events, terms = conversation_events(spark, sf_dir), _asked(spark)
     terms = terms.withColumn("term", T.stem("term")) if stemmed else terms
     scored = K.bm25(terms, K.scan_hits(terms, events, weighted, stemmed), K.corpus(events))
     return scored.withColumn("score", K.quantised(F.col("score")))
@@ -258,9 +257,9 @@ def bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.coalesce("text", F.lit("")).alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(T.select_terms(T.document_tokens(F.col("text")))).alias("pos", "term"))
-    return K.top(_scored(spark, sf_dir, False, items, docs), 5).select(F.col("query_id").alias("item_id"), F.col("event_id").alias("doc_id"), "score", "place")
+    return K.best_by_scan(items, docs, 5).select(F.col("query_id").alias("item_id"), F.col("event_id").alias("doc_id"), "score", "place")
 
 
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
